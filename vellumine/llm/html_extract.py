@@ -4,7 +4,8 @@ A page is cut into blocks at block-level tags; scripts, styles, comments and the
 first pass decides each block by where it stands (menus, footers, sidebars, forms, adverts,
 notices and reader comments are out), link density, length and stop-word density, or leaves it
 open if it is short or unclear. In the second pass an open block inherits the label of its
-nearest decided neighbour, the one before it if both are as near; with none, it stays out.
+nearest decided neighbour; if both are as near, of the one before it, a heading of the one after
+it; with none, it stays out.
 Within ``<article>`` or ``<main>`` the page itself says what is text: blocks there are in unless
 the place or the links speak against it.
 
@@ -33,6 +34,7 @@ STOP_WORDS = frozenset(
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 OUT_TAGS = frozenset("nav footer aside form button select textarea dialog menu head title iframe object canvas audio video map datalist fieldset search".split())
 OUT_NAMES = frozenset(
@@ -61,10 +63,11 @@ _SPACE = re.compile(r"\s+")
 
 
 class _Block:
-    __slots__ = ("inside", "link_chars", "out", "parts")
+    __slots__ = ("heading", "inside", "link_chars", "out", "parts")
 
-    def __init__(self, out: bool, inside: bool):
+    def __init__(self, out: bool, inside: bool, heading: bool):
         self.parts: list[str] = []
+        self.heading = heading
         self.link_chars, self.out, self.inside = 0, out, inside
 
 
@@ -98,7 +101,7 @@ def blocks(page: str) -> list[_Block]:
             if piece.isspace():
                 return
             out, inside = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-            current = _Block(out, inside)
+            current = _Block(out, inside, any(e[0] in HEADINGS for e in stack[-3:]))
             found.append(current)
         decoded = entities.unescape(piece) if "&" in piece else piece
         current.parts.append(decoded)
@@ -178,11 +181,11 @@ def extract(page: str | None) -> str:
                 last = k
             near[k] = last
     chosen = []
-    for k, (_, t) in enumerate(kept):
+    for k, (b, t) in enumerate(kept):
         label = labels[k]
         if label is None:
-            options = [(abs(x - k), x) for x in (before[k], after[k]) if x is not None]
-            label = labels[min(options)[1]] if options else False
+            options = [(abs(x - k), -x if b.heading else x, x) for x in (before[k], after[k]) if x is not None]
+            label = labels[min(options)[2]] if options else False
         if label:
             chosen.append(t)
     return "\n\n".join(chosen)
