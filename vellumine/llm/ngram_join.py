@@ -286,13 +286,11 @@ def _grid_links(rows: DataFrame, nodes: DataFrame) -> DataFrame:
 def link_components(nodes: DataFrame) -> DataFrame:
     """Steps 3 and 4 on distinct sets (sig, n, shared): (node, root) of all linked nodes."""
     rows = materialise(_open_groups(_prefixes(nodes), None), "groups")
-    small = rows.filter(F.col("m") <= SMALL)
+    small, large = rows.filter(F.col("m") <= SMALL), rows.filter(F.col("m") > SMALL).select("h", "x")
     met = small.select(F.col("h").alias("ph"), F.col("x").alias("p")).join(small, (F.col("ph") == F.col("h")) & (F.col("x") > F.col("p")) & _may_link(F.col("p"), F.col("x")))
-    links = _links(met.select("p", "x"), nodes)
-    large = rows.filter(F.col("m") > SMALL).select("h", "x")
     pivots = large.groupBy("h").agg(F.min("x").alias("p")).select(F.col("h").alias("ph"), "p")
-    met = large.join(pivots, (F.col("h") == F.col("ph")) & (F.col("x") > F.col("p")))
-    links = links.unionByName(_links(met.select("p", "x"), nodes))
+    first = large.join(pivots, (F.col("h") == F.col("ph")) & (F.col("x") > F.col("p")))
+    links = _links(met.select("p", "x").unionByName(first.select("p", "x")), nodes)
     comps = materialise(components(links), "components")
     rest = materialise(_open_groups(large, comps).select("h", "x", "comp"), "groups")
     if not rest.isEmpty():
