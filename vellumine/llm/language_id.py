@@ -150,7 +150,8 @@ class Scorer:
         labels, scores = [], []
         for lo in range(0, len(texts), 1000):
             part = [t or "" for t in texts[lo : lo + 1000]]
-            self.learn(part)
+            if self.languages:
+                self.learn(part)
             get = self.row.__getitem__
             for t in part:
                 if not self.languages or not any(map(str.isalpha, t)):

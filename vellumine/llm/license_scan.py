@@ -77,7 +77,7 @@ bsd-2-clause | 90 | 95 | bsd | (?:simplified bsd licen[cs]e|bsd 2 clause(?: lice
 bsd-3-clause | 90 | 95 | bsd | (?:new bsd licen[cs]e|modified bsd licen[cs]e|revised bsd licen[cs]e|bsd 3 clause(?: licen[cs]e)?|3 clause bsd(?: licen[cs]e)?)
 bsd-4-clause | 90 | 95 | bsd | (?:original bsd licen[cs]e|bsd 4 clause(?: licen[cs]e)?|4 clause bsd(?: licen[cs]e)?)
 bsd-0-clause | 90 | 95 | bsd | (?:zero clause bsd(?: licen[cs]e)?|bsd zero clause(?: licen[cs]e)?|0bsd)
-bsd-clear | 90 | 95 | clear bsd | (?:clear bsd licen[cs]e|bsd 3 clause clear(?: licen[cs]e)?)
+bsd-clear | 91 | 95 | bsd | (?:clear bsd licen[cs]e|bsd 3 clause clear(?: licen[cs]e)?)
 bsd | 40 | 70 | bsd | bsd (?:style )?licen[cs]e
 bsd | 60 | 75 | redistribution and use | redistribution and use in source and binary forms with or without modification are permitted
 mpl-2.0 | 90 | 98 | mozilla | mozilla public licen[cs]e(?: version| v)? 2(?: 0)?
@@ -111,7 +111,8 @@ artistic-1.0 | 90 | 95 | artistic | artistic licen[cs]e(?: version| v)? 1(?: 0)?
 artistic | 40 | 70 | artistic | (?:perl )?artistic licen[cs]e
 perl | 70 | 85 | same terms as perl | under the same terms as perl itself
 boost-1.0 | 90 | 95 | boost | boost software licen[cs]e(?: version| v)?(?: 1(?: 0)?)?
-python-2.0 | 80 | 90 | python | (?:python software foundation|psf) licen[cs]e(?: version| v)?(?: 2(?: 0)?)?
+python-2.0 | 80 | 90 | python | python software foundation licen[cs]e(?: version| v)?(?: 2(?: 0)?)?
+python-2.0 | 80 | 90 | psf | psf licen[cs]e(?: version| v)?(?: 2(?: 0)?)?
 ruby | 60 | 80 | ruby | ruby licen[cs]e
 php-3.01 | 90 | 95 | php | php licen[cs]e(?: version| v)? 3 01
 php-3.0 | 80 | 90 | php | php licen[cs]e(?: version| v)? 3(?: 0)?
@@ -122,7 +123,7 @@ ofl-1.0 | 91 | 95 | open font | (?:sil )?open font licen[cs]e(?: version| v)? 1
 eupl-1.2 | 90 | 95 | european union public | european union public licen[cs]e(?: version| v)? 1 2
 eupl-1.1 | 90 | 95 | european union public | european union public licen[cs]e(?: version| v)? 1 1
 eupl | 40 | 70 | european union public | european union public licen[cs]e
-cecill-2.1 | 90 | 95 | cecill | cecill(?: licen[cs]e)?(?: version| v)? 2 1
+cecill-2.1 | 90 | 95 | cecill | cecill licen[cs]e(?: version| v)? 2 1
 cecill | 40 | 70 | cecill | cecill(?: [bc])? licen[cs]e
 ms-pl | 80 | 90 | microsoft | microsoft public licen[cs]e
 ms-rl | 80 | 90 | microsoft | microsoft reciprocal licen[cs]e

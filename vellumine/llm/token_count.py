@@ -14,6 +14,8 @@ ids are counted row by row; other columns pass through untouched.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -49,6 +51,17 @@ def count_words(lat: Lattice, words: list[str]) -> np.ndarray:
     return count[offset[1:] - 1]
 
 
+_RUNS = re.compile(" +[^ ]*")
+
+
+def words_of(text: str) -> list[str]:
+    """The words whose lattices are a text's: each blank that does not follow a blank begins one;
+    it is left out, further blanks stay at the word's start."""
+    if "  " not in text and text[0] != " " and text[-1] != " ":
+        return text.split(" ")
+    return [run[1:] for run in _RUNS.findall(" " + text)]
+
+
 class TokenCounter:
     def __init__(self, lat: Lattice):
         self.lat = lat
@@ -63,11 +76,12 @@ class TokenCounter:
             self.cores = {"\n": 1}
         seen: set[str] = set()
         for text in texts:
-            seen.update(text.split(" "))
+            if text:
+                seen.update(words_of(text))
         split = {}
         for w in seen:
             if w not in self.words:
-                split[w] = self.lat.parts(MARK + w)
+                split[w] = self.lat.parts(MARK + w.replace(" ", MARK))
         new = list({p for parts in split.values() for p in parts if p not in self.cores})
         for lo in range(0, len(new), 50_000):
             chunk = new[lo : lo + 50_000]
@@ -81,7 +95,7 @@ class TokenCounter:
             part = [t or "" for t in texts[lo : lo + 1000]]
             self.learn(part)
             get = self.words.__getitem__
-            out += [sum(map(get, t.split(" "))) if t else 0 for t in part]
+            out += [sum(map(get, words_of(t))) if t else 0 for t in part]
         return out
 
 
