@@ -1,7 +1,7 @@
 """Exact dedup by content sort, with DataFrame operations only.
 
-Sampled splitters range-partition the normalised texts (``repartitionByRange``), an external
-sort in each partition places equal texts next to each other, and a window compares whole
+Sampled splitters range-partition the normalised texts (``repartitionByRange``) by their first
+characters and hash, an external sort in each partition places equal texts next to each other, and a window compares whole
 neighbouring texts and numbers each run of equal ones.
 
 Copies of one text would all fall into one range. Texts with more rows than a quarter of an
@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 
 from vellumine.llm.common import materialise, partitions, text_or_empty
 
+#: Characters of a text in the sort's range key; whole texts are compared within a range.
+KEY_CHARS = 64
 #: A text with fewer rows is never salted.
 LEAST_HOT = 64
 
@@ -41,8 +43,11 @@ def exact_dedup(df: DataFrame, keep: str = "smallest", normalise: Callable[[Colu
     salt = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(F.col("doc_id"), F.lit("salt")), F.col("parts")))
     keyed = base.join(F.broadcast(hot), F.col("h") == F.col("hot_h"), "left").withColumn("salt", salt.cast("int"))
 
-    ranged = keyed.select("doc_id", "text", "salt", F.col("parts").isNotNull().alias("hot")).repartitionByRange(n, "text", "salt")
-    run = Window.partitionBy("text", "salt")
+    # Splitters are sampled to the driver, so the range key is bounded: the first characters, then
+    # the hash to part texts that begin alike. Equal texts have equal keys.
+    key = [F.substring("text", 1, KEY_CHARS).alias("start"), "h", "salt"]
+    ranged = keyed.select("doc_id", "text", F.col("parts").isNotNull().alias("hot"), *key).repartitionByRange(n, "start", "h", "salt")
+    run = Window.partitionBy("start", "h", "salt", "text")
     level = ranged.select(
         "doc_id", "text", "salt", "hot",
         F.row_number().over(run.orderBy(ident)).alias("rn"),
@@ -53,8 +58,8 @@ def exact_dedup(df: DataFrame, keep: str = "smallest", normalise: Callable[[Colu
     level = materialise(level, "dedup")
 
     cold = level.filter(~F.col("hot")).select("doc_id", F.col("head").alias("keep_id"), F.col("n").alias("group_size"), (F.col("rn") == 1).alias("kept"), "text_sha256")
-    heads = level.filter(F.col("hot") & (F.col("rn") == 1)).select("head_text", "doc_id", "n", "text_sha256", "salt").repartitionByRange(n, "head_text")
-    same = Window.partitionBy("head_text")
+    heads = level.filter(F.col("hot") & (F.col("rn") == 1)).select("head_text", "doc_id", "n", "text_sha256", "salt", F.substring("head_text", 1, KEY_CHARS).alias("start"), F.xxhash64("head_text").alias("h")).repartitionByRange(n, "start", "h")
+    same = Window.partitionBy("start", "h", "head_text")
     heads = heads.select(
         F.col("text_sha256").alias("s"), F.col("salt").alias("p"),
         F.first("doc_id").over(same.orderBy(ident)).alias("keep_id"),
