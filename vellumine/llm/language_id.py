@@ -20,14 +20,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vellumine.llm.lattice import MARK, VOCABULARY, by_end, lattice
+from vellumine.llm.lattice import MARK, VOCABULARY, by_end, lattice, trie
 
 #: Labelled rows a language to fit on, in expectation.
 FIT_ROWS = 400
 ROUNDS = 3
 UNDECIDED = "und"
 #: Words a worker remembers before it starts afresh; bounds memory only.
-MEMO_WORDS = 300_000
+MEMO_WORDS = 1_000_000
+#: Words beyond this length go through the automaton, whose positions are not bound to 16 bits.
+LONGEST = 65_535
 #: Pseudo-count of every piece in every language, and the probability of a bare character.
 PRIOR = 0.01
 BARE = 1e-7
@@ -41,7 +43,8 @@ def forward(words: list[str], prob: np.ndarray, vocabulary: str = VOCABULARY, in
     """Log probability of each word in each language (words x languages); ``prob`` is pieces x
     languages with a last row for bare characters. ``inner`` gives the lattice's parts as well.
     Forward values are rescaled per position by a power that keeps long words in range."""
-    word, start, end, piece = lattice(vocabulary).edges(words)
+    long = any(len(w) > LONGEST for w in words) or len(words) > 1 << 16
+    word, start, end, piece = (lattice if long else trie)(vocabulary).edges(words)
     place = _places(words)
     alpha, scale = np.zeros((place[-1], prob.shape[1])), np.zeros(place[-1])
     alpha[place[:-1]] = 1.0

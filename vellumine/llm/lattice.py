@@ -84,6 +84,68 @@ class Lattice:
         return 1 + (c >= 0x80).astype(np.int64) + (c >= 0x800) + (c >= 0x10000)
 
 
+class Trie:
+    """The same edges for many words at once: all characters step through the vocabulary's trie
+    together, one character deeper at a time. Rows of its table are the nodes with children, its
+    columns the characters that occur below the first."""
+
+    def __init__(self, pieces: list[str]):
+        children: list[dict[str, int]] = [{}, {}]  # node 0 is the dead end, node 1 the root
+        piece = [-1, -1]
+        for k, p in enumerate(pieces):
+            at = 1
+            for c in p:
+                if c not in children[at]:
+                    children[at][c] = len(children)
+                    children.append({})
+                    piece.append(-1)
+                at = children[at][c]
+            piece[at] = k
+        self.piece, self.row = np.array(piece), np.zeros(len(piece), np.int32)
+        self.first, self.column = np.zeros(0x110000, np.int32), np.zeros(0x110000, np.int32)
+        for c, node in children[1].items():
+            self.first[ord(c)] = node
+        inner = [k for k in range(2, len(children)) if children[k]]
+        below = sorted({c for k in inner for c in children[k]})
+        self.row[inner] = np.arange(1, len(inner) + 1)
+        self.column[[ord(c) for c in below]] = np.arange(1, len(below) + 1)
+        self.table = np.zeros((len(inner) + 1, len(below) + 1), np.int32)
+        for r, k in enumerate(inner, 1):
+            for c, node in children[k].items():
+                self.table[r, self.column[ord(c)]] = node
+
+    def edges(self, words: list[str]) -> tuple[np.ndarray, ...]:
+        """As ``Lattice.edges``; at most 65,536 words of at most 65,535 characters."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        begins = np.concatenate([[0], np.cumsum(sizes + 1)])[:-1]
+        chars = np.frombuffer((_GAP.join(words) + _GAP).encode("utf-32-le"), np.uint32)
+        lone = np.ones(len(chars), bool)
+        lone[begins + sizes] = False
+        column, node = self.column[chars], self.first[chars]
+        start = np.flatnonzero(node)
+        node = node[start]
+        found, size = [], 1
+        while len(start):
+            hit = self.piece[node] >= 0
+            found.append((start[hit], np.full(int(hit.sum()), size), self.piece[node[hit]]))
+            row = self.row[node]
+            go = np.flatnonzero(row)
+            start, node = start[go], self.table[row[go], column[start[go] + size]]
+            start, node = start[node > 0], node[node > 0]
+            size += 1
+        if found:
+            lone[found[0][0]] = False
+        bare = np.flatnonzero(lone)
+        found = [*found[::-1], (bare, np.ones(len(bare), np.int64), np.full(len(bare), -1))]
+        start, size, piece = (np.concatenate(x) for x in zip(*found))
+        word = np.repeat(np.arange(len(words)), sizes + 1)[start]
+        start = start - begins[word]
+        end = start + size
+        order = np.argsort(word.astype(np.uint16), kind="stable")  # 16 bits are sorted by radix
+        order = order[np.argsort(end[order].astype(np.uint16), kind="stable")]
+        return word[order], start[order], end[order], piece[order]
+
+
 def by_end(end: np.ndarray):
     """Slices of edges with the same end, ascending."""
     if len(end):
@@ -105,3 +167,12 @@ def lattice(name: str = VOCABULARY) -> Lattice:
             path = public_tokenizers.path(name)
         _lattices[name] = Lattice(path)
     return _lattices[name]
+
+
+_tries: dict[str, Trie] = {}
+
+
+def trie(name: str = VOCABULARY) -> Trie:
+    if name not in _tries:
+        _tries[name] = Trie(lattice(name).pieces)
+    return _tries[name]
