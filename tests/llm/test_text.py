@@ -279,3 +279,21 @@ def test_pipeline_stages(spark):
     assert out.select("doc_id").distinct().join(docs, "doc_id", "left_anti").count() == 0
     full = out.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("m"))
     assert full.filter("n <> m or n > 1024").count() == 0
+
+
+def test_pipeline_stages_on_repeated_and_null_ids(spark):
+    import corpus_pipeline as p
+
+    long = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, long, "a"), (1, long, "b"), (None, "other text of some words", "a"), (None, None, "b"), (2, "", None), (3, long + " tail", "a"), (1, "one more", None)]
+    frame = spark.createDataFrame([(*r, 7, f"k{k}") for k, r in enumerate(rows)], "doc_id long, text string, source string, score int, _row string").withColumn("lang", F.lit("en"))
+    name = lambda df: sorted(r["_row"] for r in df.collect())
+    exact = p.exact(spark, frame, "")
+    assert exact.columns == frame.columns and len(name(exact)) == 5 and {"k2", "k4", "k5", "k6"} < set(name(exact))
+    assert len(name(p.near(spark, exact, ""))) == 4 and "k5" not in name(p.near(spark, exact, ""))
+    mixed = p.mix(spark, frame, "")
+    assert mixed.columns == frame.columns and all(name(mixed).count(k) <= 2 for k in name(mixed))
+    told = p.language(spark, frame, "")
+    assert told.columns == frame.columns and {r["score"] for r in told.collect()} == {7} and {"k3", "k4"}.isdisjoint(name(told))
+    for _, stage in p.STAGES:
+        assert stage(spark, frame.limit(0), "").collect() == []
