@@ -126,6 +126,32 @@ def test_html_blocks():
     assert html_extract.extract(page) == f"Head\n\n{prose.strip()}\n\nShort."
 
 
+PROSE = "This is the text of the page and it has as many of the small words as one would like to have in it, so that it is in. "
+
+
+def test_html_names_and_forms_do_not_condemn_the_page():
+    prose, more = (PROSE * 4).strip(), (PROSE * 2).strip()
+    article, side = f"<article><h1>Head</h1><p>{prose}</p></article>", f"<div class='sidebar'><p>{more}</p></div>"
+    for wrapper in ("<div class='content-with-sidebar'>", "<div class='post comments-open'>", "<div class='elementor-widget-container'>", "<form id=aspnetForm>", "<div id=sponsored class='widget'>"):
+        end = "</form>" if wrapper.startswith("<form") else "</div>"
+        assert html_extract.extract(f"<body>{wrapper}{article}{side}{end}</body>") == f"Head\n\n{prose}"
+        assert html_extract.extract(f"<body>{wrapper}<main>{more}</main>{end}{side}{side}</body>") == more
+        assert html_extract.extract(f"<body>{wrapper}<p>{prose}</p><p>{prose}</p>{end}{side}</body>") == f"{prose}\n\n{prose}"
+    parts = "".join(f"<div class='elementor-widget w{k}'><div class='elementor-widget-container'><p>{prose}</p></div></div>" for k in range(5))
+    assert html_extract.extract(f"<body>{parts}{side}</body>") == "\n\n".join([prose] * 5)
+
+
+def test_html_marks_still_put_boilerplate_out():
+    prose, more = (PROSE * 4).strip(), (PROSE * 2).strip()
+    comments = "<div id=comments>" + f"<article class=comment><p>{prose}</p></article>" * 9 + "</div>"
+    for page in (f"<article><p>{prose}</p></article>{comments}", f"<main><article><p>{prose}</p></article>{comments}</main>", f"<div><p>{prose}</p><p>{prose}</p></div><div class='cookie-notice'><p>{prose * 4}</p></div>"):
+        assert set(html_extract.extract(page).split("\n\n")) == {prose} and len(html_extract.extract(page)) <= 2 * len(prose) + 2
+    related = f"<div class=related><article><p>{more}</p></article></div>"
+    assert html_extract.extract(f"<main><p>{prose}</p>{related}</main>") == prose
+    for hidden in ("<div hidden>", "<aside>", "<div role=navigation>", "<div style='display:none'>"):
+        assert html_extract.extract(f"{hidden}<article>{prose}</article></{hidden[1:].split()[0].rstrip('>')}>") == ""
+
+
 def test_html_rows(spark):
     df = spark.createDataFrame([(1, None, None, "x"), (None, "u", "<p>" + "and the of it " * 9000, "y")], "page_id long, url string, html string, text string")
     rows = html_extract.main_text(df).collect()

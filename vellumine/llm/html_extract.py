@@ -9,6 +9,13 @@ it; with none, it stays out.
 Within ``<article>`` or ``<main>`` the page itself says what is text: blocks there are in unless
 the place or the links speak against it.
 
+A class or id name and a form are marks that may be lifted: an element's mark counts no more where
+it holds most of the page's prose (alone, or with all elements of that name together if little stands free), or holds the
+page's larger part of article or main prose. Names of reader comments and of consent notices, which
+are often longer than the page's own text, are lifted only where little other prose stands free.
+Names that tell a state (``with-sidebar``, ``comments-open``) are no marks. What is hidden, and menus,
+footers and the like by tag or role, are never lifted.
+
 Blocks that stay are decoded, white space inside becomes one space, and they are joined in page
 order by two line breaks; nothing else is dropped or cut. Null and empty pages give empty text;
 unclosed, overlapping and stray tags are taken as browsers roughly do; each row is its own page,
@@ -36,13 +43,19 @@ BLOCK_TAGS = frozenset(
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-OUT_TAGS = frozenset("nav footer aside form button select textarea dialog menu head title iframe object canvas audio video map datalist fieldset search".split())
+OUT_TAGS = frozenset("nav footer aside button select textarea dialog menu head title iframe object canvas audio video map datalist search".split())
+#: Elements that are out as marked ones are: page-wide forms hold whole articles.
+MARK_TAGS = frozenset(("form", "fieldset"))
 OUT_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising banner promo promotion sponsor sponsored cookie cookies consent gdpr notice notices notification alert popup modal overlay sidebar widget widgets "
     "related recommended share sharing social nav navbar navigation menu breadcrumb breadcrumbs pagination pager footer masthead topbar toolbar comment comments commentlist respond disqus reply replies "
     "subscribe subscription newsletter signup login search form copyright disclaimer".split()
 )
-OUT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
+#: Name parts that make a name tell of a state or layout of the element, not of its kind.
+STATE_PARTS = frozenset("with without has no open opened closed enabled disabled".split())
+#: Names of what is often longer than the page's own text.
+LONG_WINDED = frozenset("comment comments commentlist respond disqus reply replies cookie cookies consent gdpr".split())
+OUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar".split())
 
 LONG_CHARS = 140
 SHORT_CHARS = 60
@@ -63,33 +76,51 @@ _SPACE = re.compile(r"\s+")
 
 
 class _Block:
-    __slots__ = ("heading", "inside", "link_chars", "out", "parts")
+    __slots__ = ("heading", "held", "inside", "link_chars", "marks", "out", "parts")
 
-    def __init__(self, out: bool, inside: bool, heading: bool):
+    def __init__(self, out: bool, inside: bool, heading: bool, marks: tuple[_Mark, ...], held: int):
         self.parts: list[str] = []
         self.heading = heading
         self.link_chars, self.out, self.inside = 0, out, inside
+        #: Marks of the elements around; the first ``held`` stand around an article or main, too.
+        self.marks, self.held = marks, held
+
+
+class _Mark:
+    """An element whose names, or being a form, call it boilerplate."""
 
+    __slots__ = ("lifted", "long_winded", "names")
 
-def _marked_out(attributes: str) -> bool:
-    """Whether an element's own attributes call it boilerplate or hide it."""
+    def __init__(self, names: set[str]):
+        self.names, self.lifted = names, False
+        self.long_winded = any(not LONG_WINDED.isdisjoint(_NAME_PARTS.split(n)) for n in names)
+
+
+def _marked_out(attributes: str) -> tuple[bool, set[str]]:
+    """Whether an element's own attributes hide it or give it a boilerplate role, and its
+    boilerplate names."""
+    out, names = False, set()
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         value, name = (a or b or c).lower(), name.lower()
         if name in ("class", "id"):
-            if not OUT_NAMES.isdisjoint(_NAME_PARTS.split(value)):
-                return True
+            for n in value.split():
+                parts = _NAME_PARTS.split(n)
+                if not OUT_NAMES.isdisjoint(parts) and STATE_PARTS.isdisjoint(parts):
+                    names.add(n)
         elif name == "role":
             if value.strip() in OUT_ROLES:
-                return True
+                out = True
+            elif value.strip() == "form":
+                names.add("form")
         elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
-            return True
-    return False
+            out = True
+    return out, names
 
 
 def blocks(page: str) -> list[_Block]:
     found: list[_Block] = []
-    #: Open elements: (name, out of the text, inside an article, in a link).
-    stack: list[tuple[str, bool, bool, bool]] = []
+    #: Open elements: (name, out of the text, inside an article, in a link, marks, marks around an article).
+    stack: list[tuple[str, bool, bool, bool, tuple[_Mark, ...], int]] = []
     current: _Block | None = None
     at = 0
 
@@ -100,8 +131,8 @@ def blocks(page: str) -> list[_Block]:
         if current is None:
             if piece.isspace():
                 return
-            out, inside = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-            current = _Block(out, inside, any(e[0] in HEADINGS for e in stack[-3:]))
+            _, out, inside, _, marks, held = stack[-1] if stack else ("", False, False, False, (), 0)
+            current = _Block(out, inside, any(e[0] in HEADINGS for e in stack[-3:]), marks, held)
             found.append(current)
         decoded = entities.unescape(piece) if "&" in piece else piece
         current.parts.append(decoded)
@@ -139,18 +170,78 @@ def blocks(page: str) -> list[_Block]:
             close({name}, frozenset(("ul", "ol", "dl", "select", "table", "menu")))
         if attributes.rstrip().endswith("/"):
             continue
-        _, out, inside, link = stack[-1] if stack else ("", False, False, False)
-        inside = inside or name in ("article", "main")
-        head = name == "header" and not inside
-        out = out or name in OUT_TAGS or head or ("=" in attributes or "hidden" in attributes.lower()) and name not in ("html", "body", "article", "main") and _marked_out(attributes)
-        stack.append((name, out, inside, link or name == "a"))
+        _, out, inside, link, marks, held = stack[-1] if stack else ("", False, False, False, (), 0)
+        if name in ("article", "main"):
+            inside, held = True, len(marks)
+        out = out or name in OUT_TAGS or name == "header" and not inside
+        if not out and name not in ("html", "body", "article", "main"):
+            names: set[str] = set()
+            if "=" in attributes or "hidden" in attributes.lower():
+                out, names = _marked_out(attributes)
+            if name in MARK_TAGS:
+                names.add(name)
+            if names:
+                marks = (*marks, _Mark(names))
+        stack.append((name, out, inside, link or name == "a", marks, held))
     text(page[at:])
     return found
 
 
+def _lift(kept: list[tuple[_Block, str]]) -> None:
+    """Lift the marks that the page's prose speaks against."""
+    free = [(b, len(t) - b.link_chars, len(t)) for b, t in kept if not b.out and b.link_chars <= LINKS_OUT * len(t)]
+    prose = [(b, n) for b, n, whole in free if whole >= SHORT_CHARS] or [(b, n) for b, n, _ in free]
+    if not any(b.marks for b, _ in prose):
+        return
+    total = sum(n for _, n in prose)
+    holds: dict[_Mark, int] = {}
+    articles: dict[_Mark, int] = {}
+    for b, n in prose:
+        for k, m in enumerate(b.marks):
+            holds[m] = holds.get(m, 0) + n
+            if k < b.held:
+                articles[m] = articles.get(m, 0) + n
+
+    def stands_free(b: _Block) -> bool:
+        return all(m.lifted for m in b.marks)
+
+    def lift(marks: list[_Mark], size: int) -> None:
+        if any(m.long_winded for m in marks):
+            own = set(marks)
+            others = sum(n for b, n in prose if own.isdisjoint(b.marks) and stands_free(b))
+            if others >= max(LONG_CHARS, size // 10):
+                return
+        for m in marks:
+            m.lifted = True
+
+    for m in sorted(holds, key=lambda m: m.long_winded):
+        rivals = 0
+        if m in articles and 2 * holds[m] <= total:
+            rivals = sum(n for b, n in prose if b.inside and m not in b.marks and len(b.marks) == b.held and (m.long_winded or not any(x.long_winded for x in b.marks)))
+        if 2 * holds[m] > total or articles.get(m, 0) >= max(1, rivals):
+            lift([m], holds[m])
+    left = sum(n for b, n in prose if stands_free(b))
+    if 2 * left > total:
+        return
+    shared: dict[str, dict[_Mark, None]] = {}
+    for m in holds:
+        if not m.lifted:
+            for name in m.names:
+                shared.setdefault(name, {})[m] = None
+    common: set[str] = set()
+    for name, marks in shared.items():
+        size = sum(n for b, n in prose if any(m in marks for m in b.marks))
+        if 2 * size > total and left < size // 5:
+            common.add(name)
+    for long_winded in (False, True):
+        same = [m for m in holds if not m.lifted and m.long_winded == long_winded and m.names <= common]
+        if same:
+            lift(same, sum(n for b, n in prose if any(m in same for m in b.marks)))
+
+
 def _label(block: _Block, text: str) -> bool | None:
     """First pass: in, out or open."""
-    if block.out:
+    if block.out or not all(m.lifted for m in block.marks):
         return False
     share = block.link_chars / max(1, len(text))
     if block.inside:
@@ -171,6 +262,7 @@ def extract(page: str | None) -> str:
     if not page:
         return ""
     kept = [(b, t) for b in blocks(page) if (t := _SPACE.sub(" ", "".join(b.parts)).strip())]
+    _lift(kept)
     labels = [_label(b, t) for b, t in kept]
     n = len(labels)
     before, after = [None] * n, [None] * n
