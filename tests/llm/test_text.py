@@ -152,6 +152,24 @@ def test_html_marks_still_put_boilerplate_out():
         assert html_extract.extract(f"{hidden}<article>{prose}</article></{hidden[1:].split()[0].rstrip('>')}>") == ""
 
 
+def test_html_rules_run_inside_articles():
+    prose = (PROSE * 2).strip()
+    advert = "Luxury watches, premium brands, unbeatable discounts! Free shipping worldwide, order today!"
+    links = "<a href=1>Ten surprising facts about penguins</a> <a href=2>Celebrity homes: photos, prices</a>"
+    heading, item = "Quarterly earnings: Acme Corporation, Globex Industries, Initech Software", "Flour 500g, sugar 200g, butter 250g, eggs, vanilla, baking powder, salt"
+    body = f"<h1>{heading}</h1><p>{prose}</p><div>{advert}</div><p>Short one.</p><ul><li>{item}</li></ul><p>{links}</p><p>{prose}</p>"
+    for tag in ("article", "main"):
+        assert html_extract.extract(f"<{tag}>{body}</{tag}>") == f"{heading}\n\n{prose}\n\nShort one.\n\n{item}\n\n{prose}"
+    rows = [f"ratio{k} | entry{k} | {k}.25 | Globex | Acme | Initech | Hooli | Umbrella | Stark" for k in range(4)]
+    assert html_extract.extract("<article>" + "".join(f"<p>{r}</p>" for r in rows) + "</article>") == "\n\n".join(rows)
+
+
+def test_html_page_without_article():
+    prose = (PROSE * 2).strip()
+    page = f"<body><div><a href=1>Home</a> <a href=2>Contact</a></div><div><h1>Head</h1><p>{prose}</p><p>Short.</p><p>{prose}</p></div><div>Luxury watches, premium brands, unbeatable discounts! Free shipping worldwide, order today!</div><div>© 2020 Acme</div></body>"
+    assert html_extract.extract(page) == f"Head\n\n{prose}\n\nShort.\n\n{prose}"
+
+
 def test_html_rows(spark):
     df = spark.createDataFrame([(1, None, None, "x"), (None, "u", "<p>" + "and the of it " * 9000, "y")], "page_id long, url string, html string, text string")
     rows = html_extract.main_text(df).collect()

@@ -6,8 +6,11 @@ notices and reader comments are out), link density, length and stop-word density
 open if it is short or unclear. In the second pass an open block inherits the label of its
 nearest decided neighbour; if both are as near, of the one before it, a heading of the one after
 it; with none, it stays out.
-Within ``<article>`` or ``<main>`` the page itself says what is text: blocks there are in unless
-the place or the links speak against it.
+Within ``<article>`` or ``<main>`` the same rules run with the place as a prior: a long block of some
+stop-word density is in there; one of mostly links, or of so few stop words that by the density of
+those that are in fewer than ``RARE`` of such blocks have them, is out only from ``SHORT_CHARS`` on, not if it is a heading, a list item, a cell, a caption or preformatted, and not
+if such blocks hold as much of the page's articles as those that are in (then links and stop words
+tell nothing about them). An open block there goes out only between two blocks that are.
 
 A class or id name and a form are marks that may be lifted: an element's mark counts no more where
 it holds most of the page's prose (alone, or with all elements of that name together if little stands free), or holds the
@@ -25,6 +28,7 @@ so repeated rows, ties and null ids need no rule.
 from __future__ import annotations
 
 import html as entities
+import math
 import re
 
 import pyarrow as pa
@@ -41,6 +45,8 @@ STOP_WORDS = frozenset(
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
+#: Within an article, blocks of these are terse by nature; few stop words or many links leave them open.
+TERSE_TAGS = frozenset("h1 h2 h3 h4 h5 h6 li dt dd td th caption figcaption pre address summary".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 OUT_TAGS = frozenset("nav footer aside button select textarea dialog menu head title iframe object canvas audio video map datalist search".split())
@@ -62,6 +68,7 @@ SHORT_CHARS = 60
 LINKS_OUT = 0.5
 STOP_GOOD = 0.2
 STOP_SOME = 0.1
+RARE = 1e-3
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -76,11 +83,12 @@ _SPACE = re.compile(r"\s+")
 
 
 class _Block:
-    __slots__ = ("heading", "held", "inside", "link_chars", "marks", "out", "parts")
+    __slots__ = ("heading", "held", "inside", "link_chars", "marks", "out", "parts", "stops", "terse", "words")
 
-    def __init__(self, out: bool, inside: bool, heading: bool, marks: tuple[_Mark, ...], held: int):
+    def __init__(self, out: bool, inside: bool, heading: bool, terse: bool, marks: tuple[_Mark, ...], held: int):
         self.parts: list[str] = []
-        self.heading = heading
+        self.heading, self.terse = heading, terse
+        self.words, self.stops = 0, 0
         self.link_chars, self.out, self.inside = 0, out, inside
         #: Marks of the elements around; the first ``held`` stand around an article or main, too.
         self.marks, self.held = marks, held
@@ -132,7 +140,7 @@ def blocks(page: str) -> list[_Block]:
             if piece.isspace():
                 return
             _, out, inside, _, marks, held = stack[-1] if stack else ("", False, False, False, (), 0)
-            current = _Block(out, inside, any(e[0] in HEADINGS for e in stack[-3:]), marks, held)
+            current = _Block(out, inside, any(e[0] in HEADINGS for e in stack[-3:]), any(e[0] in TERSE_TAGS for e in stack[-3:]), marks, held)
             found.append(current)
         decoded = entities.unescape(piece) if "&" in piece else piece
         current.parts.append(decoded)
@@ -239,31 +247,42 @@ def _lift(kept: list[tuple[_Block, str]]) -> None:
             lift(same, sum(n for b, n in prose if any(m in same for m in b.marks)))
 
 
+def _place_out(block: _Block) -> bool:
+    return block.out or not all(m.lifted for m in block.marks)
+
+
 def _label(block: _Block, text: str) -> bool | None:
     """First pass: in, out or open."""
-    if block.out or not all(m.lifted for m in block.marks):
+    if _place_out(block):
         return False
     share = block.link_chars / max(1, len(text))
     if block.inside:
-        return None if share > LINKS_OUT else True
-    if share > LINKS_OUT or text.startswith(("©", "(c) ", "(C) ")):
+        if len(text) < SHORT_CHARS:
+            return None
+        if share > LINKS_OUT:
+            return None if block.terse else False
+    elif share > LINKS_OUT or text.startswith(("©", "(c) ", "(C) ")):
         return False
     words = text.lower().split()
-    stops = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words)
+    block.words, block.stops = len(words), sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words)
+    stops = block.stops / block.words
     if len(text) < SHORT_CHARS:
         return None
-    if stops >= STOP_GOOD:
+    if stops >= (STOP_SOME if block.inside else STOP_GOOD):
         return True if len(text) >= LONG_CHARS else None
+    if block.inside and block.terse:
+        return None
     return None if stops >= STOP_SOME or len(text) >= LONG_CHARS else False
 
 
-def extract(page: str | None) -> str:
-    """The page's main text."""
-    if not page:
-        return ""
-    kept = [(b, t) for b in blocks(page) if (t := _SPACE.sub(" ", "".join(b.parts)).strip())]
-    _lift(kept)
-    labels = [_label(b, t) for b, t in kept]
+def _rare(block: _Block, density: float) -> bool:
+    """Whether so few stop words are improbable for a block of that density."""
+    n = block.words
+    return sum(math.comb(n, k) * density**k * (1 - density) ** (n - k) for k in range(block.stops + 1)) < RARE
+
+
+def _nearest(labels: list[bool | None]) -> tuple[list[int | None], list[int | None]]:
+    """The places of the nearest decided labels at or before and at or after each place."""
     n = len(labels)
     before, after = [None] * n, [None] * n
     for order, near in ((range(n), before), (range(n - 1, -1, -1), after)):
@@ -272,10 +291,34 @@ def extract(page: str | None) -> str:
             if labels[k] is not None:
                 last = k
             near[k] = last
+    return before, after
+
+
+def extract(page: str | None) -> str:
+    """The page's main text."""
+    if not page:
+        return ""
+    kept = [(b, t) for b in blocks(page) if (t := _SPACE.sub(" ", "".join(b.parts)).strip())]
+    _lift(kept)
+    labels = [_label(b, t) for b, t in kept]
+    within = [k for k, (b, _) in enumerate(kept) if b.inside and not _place_out(b)]
+    sure = [kept[k][0] for k in within if labels[k]]
+    density = sum(b.stops for b in sure) / max(1, sum(b.words for b in sure))
+    for k in within:
+        if labels[k] is False and kept[k][0].words and not _rare(kept[k][0], density):
+            labels[k] = None
+    size = {x: sum(len(kept[k][1]) for k in within if labels[k] is x) for x in (True, False)}
+    if size[False] >= size[True]:
+        for k in within:
+            labels[k] = labels[k] or None
+    gone = {k for k in within if labels[k] is False}
+    before, after = _nearest(labels)
     chosen = []
     for k, (b, t) in enumerate(kept):
         label = labels[k]
-        if label is None:
+        if label is None and b.inside:
+            label = not {k - 1, k + 1} <= gone
+        elif label is None:
             options = [(abs(x - k), -x if b.heading else x, x) for x in (before[k], after[k]) if x is not None]
             label = labels[min(options)[2]] if options else False
         if label:
