@@ -170,6 +170,18 @@ def test_html_page_without_article():
     assert html_extract.extract(page) == f"Head\n\n{prose}\n\nShort.\n\n{prose}"
 
 
+def test_html_page_in_another_language():
+    polish = [
+        "Najstarsze ślady osadnictwa pochodzą z epoki kamienia, a pierwsze wzmianki pisane o grodzie nad rzeką pojawiają się dopiero w kronikach spisanych kilkaset lat później.",
+        "Miasto rozwijało się dzięki handlowi solą oraz bursztynem, to tutaj krzyżowały się szlaki kupieckie.",
+        "Po wielkim pożarze odbudowano ratusz, kościoły i mury obronne, które przetrwały do dziś w niemal niezmienionym kształcie i przyciągają turystów.",
+    ]
+    russian = ["Первые письменные упоминания о городе относятся к двенадцатому веку, когда здесь стояла деревянная крепость на высоком берегу.", "Город быстро рос благодаря торговле солью, мехами и янтарём."]
+    for texts in (polish, russian, russian[:1], [polish[1]] * 3):
+        page = "<body><nav><a href=1>Strona główna</a></nav><div><a href=2>Kontakt</a> <a href=3>Aktualności</a></div>" + "".join(f"<div>{t}</div>" for t in texts) + "<div>© 2020 Muzeum</div><footer>Wszelkie prawa zastrzeżone</footer></body>"
+        assert html_extract.extract(page) == "\n\n".join(texts)
+
+
 def test_html_rows(spark):
     df = spark.createDataFrame([(1, None, None, "x"), (None, "u", "<p>" + "and the of it " * 9000, "y")], "page_id long, url string, html string, text string")
     rows = html_extract.main_text(df).collect()

@@ -11,6 +11,9 @@ stop-word density is in there; one of mostly links, or of so few stop words that
 those that are in fewer than ``RARE`` of such blocks have them, is out only from ``SHORT_CHARS`` on, not if it is a heading, a list item, a cell, a caption or preformatted, and not
 if such blocks hold as much of the page's articles as those that are in (then links and stop words
 tell nothing about them). An open block there goes out only between two blocks that are.
+Stop words are known of four languages. Where no long block of a page is dense in them and all its
+blocks together stay under ``STOP_SOME``, its language is taken as another (whose words may chance to
+be stop words), and length and link density alone decide: blocks from ``SHORT_CHARS`` on are in.
 
 A class or id name and a form are marks that may be lifted: an element's mark counts no more where
 it holds most of the page's prose (alone, or with all elements of that name together if little stands free), or holds the
@@ -251,7 +254,20 @@ def _place_out(block: _Block) -> bool:
     return block.out or not all(m.lifted for m in block.marks)
 
 
-def _label(block: _Block, text: str) -> bool | None:
+def _count(block: _Block, text: str) -> None:
+    words = text.lower().split()
+    block.words, block.stops = len(words), sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words)
+
+
+def _stop_words_tell(kept: list[tuple[_Block, str]]) -> bool:
+    """Whether the page seems to be in a language whose stop words are known."""
+    found = [(b, t) for b, t in kept if not _place_out(b) and b.link_chars <= LINKS_OUT * len(t)]
+    if any(len(t) >= LONG_CHARS and b.stops >= STOP_GOOD * b.words for b, t in found):
+        return True
+    return sum(b.stops for b, _ in found) >= STOP_SOME * sum(b.words for b, _ in found)
+
+
+def _label(block: _Block, text: str, stop_words_tell: bool) -> bool | None:
     """First pass: in, out or open."""
     if _place_out(block):
         return False
@@ -263,11 +279,11 @@ def _label(block: _Block, text: str) -> bool | None:
             return None if block.terse else False
     elif share > LINKS_OUT or text.startswith(("©", "(c) ", "(C) ")):
         return False
-    words = text.lower().split()
-    block.words, block.stops = len(words), sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words)
-    stops = block.stops / block.words
     if len(text) < SHORT_CHARS:
         return None
+    if not stop_words_tell:
+        return True
+    stops = block.stops / block.words
     if stops >= (STOP_SOME if block.inside else STOP_GOOD):
         return True if len(text) >= LONG_CHARS else None
     if block.inside and block.terse:
@@ -300,12 +316,15 @@ def extract(page: str | None) -> str:
         return ""
     kept = [(b, t) for b in blocks(page) if (t := _SPACE.sub(" ", "".join(b.parts)).strip())]
     _lift(kept)
-    labels = [_label(b, t) for b, t in kept]
+    for b, t in kept:
+        _count(b, t)
+    stop_words_tell = _stop_words_tell(kept)
+    labels = [_label(b, t, stop_words_tell) for b, t in kept]
     within = [k for k, (b, _) in enumerate(kept) if b.inside and not _place_out(b)]
     sure = [kept[k][0] for k in within if labels[k]]
     density = sum(b.stops for b in sure) / max(1, sum(b.words for b in sure))
     for k in within:
-        if labels[k] is False and kept[k][0].words and not _rare(kept[k][0], density):
+        if labels[k] is False and kept[k][0].link_chars <= LINKS_OUT * len(kept[k][1]) and not _rare(kept[k][0], density):
             labels[k] = None
     size = {x: sum(len(kept[k][1]) for k in within if labels[k] is x) for x in (True, False)}
     if size[False] >= size[True]:
