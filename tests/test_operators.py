@@ -108,3 +108,44 @@ def test_reassign_modes_and_mass(spark):
     x = E.pair_expect(q, E.pair_start(q))
     n = {m: sum(r.n for r in E.reassign(x, m).collect()) for m in ("exclude", "average", "choose", "conf")}
     assert n == {"exclude": 1.0, "average": 4.0, "choose": 4.0, "conf": 1.0}
+
+
+def test_fits_reach_the_fixed_point_by_classes_and_by_rows(spark, monkeypatch):
+    rows = [(s, r, f, w) for s in ("s", "t") for r, fs in ((1, (1, 2)), (2, (1, 2)), (3, (2, 3)), (4, (1,)), (5, (1, 3))) for f, w in zip(fs, (0.4, 0.6) if len(fs) > 1 else (1.0,))]
+    q = E.multi_flag(spark.createDataFrame(rows, "sample_id string, read_id long, feature_id long, w double")).persist()
+    lengths = spark.createDataFrame([(1, 10.0), (2, 5.0), (3, 20.0)], "feature_id long, eff double")
+
+    def plain(steps):
+        w = np.array([[0.4, 0.6, 0], [0.4, 0.6, 0], [0, 0.4, 0.6], [1, 0, 0], [0.4, 0, 0.6]])
+        many, eff = np.array([1, 1, 1, 0, 1.0]), np.array([10.0, 5.0, 20.0])
+        pi, theta, rho = np.full(3, 1 / 3), np.full(3, 1 / 3), (w > 0).sum(axis=0) / eff
+        for _ in range(steps):
+            x = w * pi * np.where(many[:, None] > 0, theta, 1.0)
+            x /= x.sum(axis=1, keepdims=True)
+            pi, theta = (x.sum(axis=0) + 0.2) / (5 + 0.6), ((x * many[:, None]).sum(axis=0) + 0.1) / (4 + 0.3)
+            y = (w > 0) * rho
+            m = (y / y.sum(axis=1, keepdims=True)).sum(axis=0) / eff
+            rho = m / m.sum()
+        return pi, theta, rho
+
+    pi, theta, rho = plain(5000)
+    fitted, report = E.pair_fit(q, E.pair_start(q, 0.2, 0.1), 1e-9, 1000)
+    assert set(report) == {"s", "t"} and all(reached for _, reached in report.values())
+    for r in fitted.collect():
+        assert (r.pi, r.theta) == pytest.approx((pi[r.feature_id - 1], theta[r.feature_id - 1]), abs=1e-6)
+    assert sum(r.n for r in E.pair_counts(q, E.pair_start(q, 0.2, 0.1), "average").collect()) == pytest.approx(10.0)
+    fitted, report = E.ratio_fit(q, lengths, 1e-8, 1000)
+    assert all(reached for _, reached in report.values())
+    for r in fitted.collect():
+        assert r.pi == pytest.approx(rho[r.feature_id - 1], abs=1e-4)
+    assert E.pair_fit(q, E.pair_start(q, 0.2, 0.1), 0.0, 1)[1]["s"][1] is False
+    assert sum(r.m for r in E.ratio_counts(q, lengths).collect()) == pytest.approx(10.0)
+
+    def few():
+        pair, ratio = E.pair_fit(q, E.pair_start(q, 0.2, 0.1), 1e-9, 4), E.ratio_fit(q, lengths, 1e-8, 3)
+        return [x for f, report in (pair, ratio) for x in [*sorted(report.items()), *[v for r in sorted(f.collect()) for v in r]]]
+
+    by_classes = few()
+    monkeypatch.setattr(E, "MOST_CLASSES", 0)
+    for a, b in zip(few(), by_classes, strict=True):
+        assert a == (pytest.approx(b, abs=1e-12) if isinstance(b, float) else b)

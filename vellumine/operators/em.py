@@ -5,6 +5,10 @@ cut to a table after each), and arrays on the driver over equivalence classes. R
 same weights over the same features add alike to every step, so classes and their counts give
 the same result; there are as many as distinct feature sets, far fewer than reads, and their
 number is checked before they come to the driver.
+
+``ratio_fit`` and ``pair_fit`` run the fixed points to their tolerance by SQUAREM, sample by sample:
+over classes, or beyond ``MOST_CLASSES`` over the rows in Spark, where each evaluation is a job and
+only the parameters, a few numbers a feature, come to the driver.
 """
 
 from __future__ import annotations
@@ -13,6 +17,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -115,6 +120,10 @@ def reassign(x: DataFrame, mode: str, conf: float = 0.9, seed: int = 0) -> DataF
     return out.groupBy("sample_id", "feature_id").agg(F.sum("n").alias("n"))
 
 
+class TooManyClasses(ValueError):
+    pass
+
+
 @dataclass
 class Classes:
     """Equivalence classes of one sample: class k has count[k] reads and the cells first[k]:first[k+1]."""
@@ -131,7 +140,7 @@ def classes(q: DataFrame) -> dict[str, Classes]:
     cell = F.array_sort(F.collect_list(F.struct("feature_id", F.round("w", 12).alias("w"))))
     per = q.groupBy(*READ).agg(cell.alias("cells")).groupBy("sample_id", "cells").count()
     if per.limit(MOST_CLASSES + 1).count() > MOST_CLASSES:
-        raise ValueError("too many equivalence classes for the driver; iterate in Spark")
+        raise TooManyClasses("too many equivalence classes for the driver; iterate in Spark")
     found: dict[str, list] = {}
     for r in per.collect():
         found.setdefault(r["sample_id"], []).append((r["cells"], r["count"]))
@@ -207,3 +216,97 @@ def squarem(start: np.ndarray, step: Callable[[np.ndarray], np.ndarray], toleran
             longest *= 4
         p = new
     return p, used, False
+
+
+#: Evaluations used and whether the tolerance was reached, by sample.
+Report = dict[str, tuple[int, bool]]
+
+
+def _fit(q: DataFrame, state: DataFrame, on_classes, on_rows, finish, tolerance: float, most: int) -> tuple[DataFrame, Report]:
+    """``state`` with its ``pi`` (and what else the steps keep) run to tolerance. ``on_classes`` and
+    ``on_rows`` make the step of ``pi`` for a sample's classes or rows and columns of the state."""
+    spark = q.sparkSession
+    table = state.orderBy("sample_id", "feature_id").toArrow()
+    q = q.join(state.select("sample_id", "feature_id"), ["sample_id", "feature_id"], "left_semi").persist()
+    try:
+        found = classes(q)
+    except TooManyClasses:
+        found = None
+    names = table.column("sample_id").to_pylist()
+    report: Report = {}
+    done = {f: [] for f in table.column_names}
+    first = 0
+    while first < len(names):
+        last = first
+        while last < len(names) and names[last] == names[first]:
+            last += 1
+        part = table.slice(first, last - first)
+        v = {f: part.column(f).to_pylist() if f.endswith("_id") else part.column(f).to_numpy().astype(float) for f in table.column_names}
+        sample, first = names[first], last
+        step = on_classes(found[sample], v) if found is not None else on_rows(q.filter(F.col("sample_id") == sample), v)
+        pi, used, reached = squarem(v["pi"], step, tolerance, most)
+        v["pi"] = finish(np.maximum(pi, 0.0))
+        report[sample] = used, reached
+        for f, values in v.items():
+            done[f].extend(values)
+    q.unpersist()
+    return spark.createDataFrame(pa.table({f: pa.array(done[f], table.schema.field(f).type) for f in table.column_names}), state.schema), report
+
+
+def _row_step(q: DataFrame, v: dict, schema, step: Callable[[DataFrame, DataFrame], DataFrame], kept: tuple[str, ...]):
+    def run(pi: np.ndarray) -> np.ndarray:
+        v["pi"] = pi
+        given = q.sparkSession.createDataFrame(list(zip(*([x if isinstance(x, list) else x.tolist() for x in (v[f] for f in schema.names)]))), schema)
+        found = step(q, given).orderBy("feature_id").toArrow()
+        for f in kept:
+            v[f] = found.column(f).to_numpy().astype(float)
+        return found.column("pi").to_numpy().astype(float)
+
+    return run
+
+
+def ratio_fit(q: DataFrame, lengths: DataFrame, tolerance: float = 1e-4, most: int = 100) -> tuple[DataFrame, Report]:
+    """(sample_id, feature_id, eff, pi) at the fixed point, clamped and renormalised (E4); counts by ``ratio_assign``."""
+    state = ratio_start(q, lengths)
+    return _fit(
+        q, state, lambda c, v: ratio_map(c, v["eff"]), lambda rows, v: _row_step(rows, dict(v), state.schema, ratio_step, ()),
+        lambda pi: pi / pi.sum() if pi.sum() > 0 else pi, tolerance, most,
+    )
+
+
+def ratio_counts(q: DataFrame, lengths: DataFrame, tolerance: float = 1e-4, most: int = 100) -> DataFrame:
+    """Counts of multi reads (sample_id, feature_id, m) at the fixed point."""
+    return ratio_assign(q, ratio_fit(q, lengths, tolerance, most)[0])
+
+
+def pair_fit(q: DataFrame, state: DataFrame, tolerance: float = 1e-7, most: int = 100) -> tuple[DataFrame, Report]:
+    """``state`` (of ``pair_start``) at the fixed point, pi clamped. As in the reference, pi alone is
+    extrapolated and tested; theta is that of the last evaluation (E10, E11, E15)."""
+
+    def on_classes(c: Classes, v: dict):
+        step, n = pair_map(c, v["a"], v["b"]), len(c.features)
+
+        def run(pi: np.ndarray) -> np.ndarray:
+            out = step(np.concatenate([pi, v["theta"]]))
+            v["theta"] = out[n:]
+            return out[:n]
+
+        return run
+
+    def on_rows(rows: DataFrame, v: dict):
+        own = dict(v)
+        step = _row_step(rows, own, state.schema, pair_step, ("theta",))
+
+        def run(pi: np.ndarray) -> np.ndarray:
+            out = step(pi)
+            v["theta"] = own["theta"]
+            return out
+
+        return run
+
+    return _fit(q, state, on_classes, on_rows, lambda pi: pi, tolerance, most)
+
+
+def pair_counts(q: DataFrame, state: DataFrame, mode: str, conf: float = 0.9, seed: int = 0, tolerance: float = 1e-7, most: int = 100) -> DataFrame:
+    """Counts (sample_id, feature_id, n) after a final E step at the fixed point."""
+    return reassign(pair_expect(q, pair_fit(q, state, tolerance, most)[0]), mode, conf, seed)
