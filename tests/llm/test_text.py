@@ -266,6 +266,30 @@ def test_forward_equals_enumeration():
     assert got == pytest.approx([np.log(total(w)) for w in words])
 
 
+def test_fit_takes_long_words_whole(monkeypatch):
+    words = ["▁" + "internationalisation" * 6, "▁the", "▁" + "的ñ人x" * 200]
+    counts = np.array([3, 5, 2])
+    alone = language_id.fit(words[:1], counts[:1])[:-1]
+    assert alone.max() > 100 * alone.min()
+    got = language_id.fit(words, counts)
+    monkeypatch.setattr(language_id, "CUT_CHARS", 1 << 20)
+    assert got == pytest.approx(language_id.fit(words, counts), rel=1e-6)
+    monkeypatch.setattr(language_id, "BATCH_CHARS", 1)
+    assert got == pytest.approx(language_id.fit(words, counts), rel=1e-6)
+
+
+def test_training_splits_as_scoring_and_learns_lines_without_blanks(spark):
+    everything = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    assert set(re.findall(language_id.SPACES.rstrip("+"), everything)) == {c for c in everything if c.isspace()}
+    rows = [(k, "\t".join(["the", "house", "and", "water"] * 30), "en") for k in range(20)] + [(100 + k, "derhausundwasser" * 20, "de") for k in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    languages, prob = language_id.train(df)
+    pieces = lattice().pieces
+    for lang, piece in (("en", "▁water"), ("de", "und")):
+        column = prob[:-1, languages.index(lang)]
+        assert column[pieces.index(piece)] > 100 * np.median(column)
+
+
 def test_language_accuracy_on_held_out_rows(spark, docs):
     from vellumine.llm import queries
 

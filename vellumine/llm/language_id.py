@@ -7,7 +7,7 @@ of its words' logarithms, and the answer's score is its posterior under equal pr
 
 Fitting is expectation maximisation over the same lattices (forward and backward passes) on at
 most about ``FIT_ROWS`` labelled rows a language, drawn by a hash of the id: the one bounded
-sample here. Scoring covers every whole text; words repeat, so each worker remembers them.
+sample here; all words of those rows count, split as in scoring. Scoring covers every whole text; words repeat, so each worker remembers them.
 """
 
 from __future__ import annotations
@@ -30,6 +30,12 @@ UNDECIDED = "und"
 MEMO_WORDS = 1_000_000
 #: Words beyond this length go through the automaton, whose positions are not bound to 16 bits.
 LONGEST = 65_535
+#: In fitting, words beyond the first length are cut where no piece spans two characters (which is
+#: exact) and run in batches of their own, and batches close at the second number of characters.
+CUT_CHARS = 64
+BATCH_CHARS = 1 << 19
+#: What ``str.split`` splits at, for Spark.
+SPACES = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 #: Pseudo-count of every piece in every language, and the probability of a bare character.
 PRIOR = 0.01
 BARE = 1e-7
@@ -64,16 +70,41 @@ def forward(words: list[str], prob: np.ndarray, vocabulary: str = VOCABULARY, in
     return (logs, alpha, scale, source, target, piece, end) if inner else logs
 
 
+def _cut(word: str, pairs: set[str]) -> list[str]:
+    """The parts of a word whose lattices stand apart."""
+    at = [0, *(k for k in range(1, len(word)) if word[k - 1 : k + 1] not in pairs), len(word)]
+    return [word[a:b] for a, b in zip(at, at[1:])]
+
+
+def _batches(words: list[str], counts: np.ndarray, pairs: set[str]) -> list[tuple[list[str], np.ndarray]]:
+    """Words and counts in batches of bounded size, long words cut and apart from the others."""
+    short = [(w, n) for w, n in zip(words, counts.tolist()) if len(w) <= CUT_CHARS]
+    parts: dict[str, float] = {}
+    for w, n in zip(words, counts.tolist()):
+        if len(w) > CUT_CHARS:
+            for part in _cut(w, pairs):
+                parts[part] = parts.get(part, 0) + n
+    out = []
+    for rows in (short, sorted(parts.items(), key=lambda r: len(r[0]))):
+        lo, size = 0, 0
+        for k, (w, _) in enumerate(rows):
+            if k > lo and (size + len(w) > BATCH_CHARS or k - lo == 50_000):
+                out.append(rows[lo:k])
+                lo, size = k, 0
+            size += len(w)
+        if rows:
+            out.append(rows[lo:])
+    return [([w for w, _ in rows], np.array([n for _, n in rows], float)) for rows in out]
+
+
 def fit(words: list[str], counts: np.ndarray, rounds: int = ROUNDS, vocabulary: str = VOCABULARY) -> np.ndarray:
     """Piece probabilities (with the bare character last) of one language's word counts."""
     n = len(lattice(vocabulary).pieces)
     prob = np.append(np.full(n, 1.0 / n), BARE)
-    keep = [k for k, w in enumerate(words) if len(w) <= 64]
-    words, counts = [words[k] for k in keep], counts[keep]
+    batches = _batches(words, counts, lattice(vocabulary).pairs)
     for _ in range(rounds if words else 0):
         expected = np.full(n, PRIOR)
-        for lo in range(0, len(words), 50_000):
-            part, weight = words[lo : lo + 50_000], counts[lo : lo + 50_000].astype(float)
+        for part, weight in batches:
             logs, alpha, scale, source, target, piece, end = forward(part, prob[:, None], vocabulary, True)
             place = _places(part)
             a = np.log(np.maximum(alpha[:, 0], 1e-300)) + scale
@@ -107,7 +138,7 @@ def train(df: DataFrame, rows: int = FIT_ROWS, rounds: int = ROUNDS, vocabulary:
     """(languages, pieces x languages). Each language is fitted in a task of its own on word
     counts; what comes to the driver is one vector of the vocabulary's size a language."""
 
-    words = labelled_sample(df, rows).select("lang", F.explode(F.split("text", "[ \n]")).alias("word")).filter("word <> ''")
+    words = labelled_sample(df, rows).select("lang", F.explode(F.split("text", SPACES)).alias("word")).filter("word <> ''")
     counts = words.groupBy("lang", "word").count()
 
     def run(table: pa.Table) -> pa.Table:
