@@ -1,8 +1,11 @@
 """Byte-level BPE ids of whole texts through the ``tokenizers`` library, with a bounded memo.
 
-A blank between two non-blank characters is always the start of a pre-token, so a text may be
-encoded piece by piece there: the ids of the pieces, put together, are the ids of the text.
-Pieces repeat, so each is encoded once per worker.
+The library's tokenizer is used as its file gives it: added tokens in a text are found as its own
+call finds them. A text whose white space is single blanks and line breaks between other
+characters is encoded piece by piece: a blank always starts a pre-token, a line break is one, so
+the ids of the pieces, put together, are the ids of the text. Pieces repeat, so each is encoded
+once per worker; a piece of letters is one pre-token, so the library's model alone answers it.
+Any other text goes to the library whole.
 """
 
 from __future__ import annotations
@@ -15,93 +18,100 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
-#: Entries after which a worker's memo starts afresh; it bounds memory, not results.
-MEMO_ENTRIES = 500_000
-_LONGEST_KEPT = 48
+#: Pieces a worker remembers before it starts afresh, none longer than the second number of
+#: characters: together they bound the memo's bytes, not the results.
+MEMO_ENTRIES = 600_000
+LONGEST_KEPT = 48
+#: Below this character letters are the same in all versions of Unicode that are in use.
+_SETTLED = "ɐ"
 
 
-class _Unsafe(Exception):
-    pass
+def _shown() -> dict[int, str]:
+    """How byte-level vocabularies write characters below ``_SETTLED``: a visible character for
+    each byte, printable Latin-1 for itself, the others from U+0100 on, in order."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(0x100, 0x200))
+    byte = [chr(b if b in plain else next(others)) for b in range(256)]
+    return {c: "".join(byte[b] for b in chr(c).encode()) for c in range(ord(_SETTLED))}
+
+
+class _Whole(Exception):
+    """The text must be encoded whole."""
 
 
 class _Memo(dict):
-    """Key -> ids as little-endian 32-bit bytes, computed when missing."""
+    """Piece -> ids as little-endian 32-bit bytes, where the piece stands after ``lead``."""
 
-    def __init__(self, encode):
+    def __init__(self, enc: BpeEncoder, lead: str):
         super().__init__()
-        self.encode = encode
+        self.enc, self.lead = enc, lead
 
-    def __missing__(self, key: str) -> bytes:
-        ids = self.encode(key)
-        if len(key) <= _LONGEST_KEPT:
+    def __missing__(self, piece: str) -> bytes:
+        ids = self._ids(piece)
+        if len(piece) <= LONGEST_KEPT:
             if len(self) >= MEMO_ENTRIES:
                 self.clear()
-            self[key] = ids
+            self[piece] = ids
         return ids
 
-
-def _byte_characters() -> str:
-    """The visible character that stands for each byte in byte-level vocabularies: printable
-    Latin-1 for itself, the others from U+0100 on, in order."""
-    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-    others = iter(range(0x100, 0x200))
-    return "".join(chr(b if b in plain else next(others)) for b in range(256))
+    def _ids(self, piece: str) -> bytes:
+        enc = self.enc
+        if piece.isalpha() and (piece.isascii() or max(piece) < _SETTLED):
+            return enc.word(self.lead + piece)
+        if piece.split() != [piece]:  # empty, or holds other white space
+            raise _Whole
+        if piece[-1] in enc.marks and piece[-2:-1].isascii() and piece[-2:-1].isalnum():
+            return self[piece[:-1]] + enc.marks[piece[-1]]  # a sign after a letter or digit starts a pre-token
+        return enc.whole(self.lead + piece)
 
 
 class BpeEncoder:
     """Whole text -> ids as bytes (unsigned 32-bit, little-endian)."""
 
     def __init__(self, path: str):
-        import public_tokenizers
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.pretokens = regex.compile(public_tokenizers.PATTERN).findall
-        self.model, self.characters = self.tokenizer.model, _byte_characters()
-        self.words = _Memo(self._pretoken)
-        self.inner, self.first = _Memo(self._inner), _Memo(self._first)
-
-    def _pretoken(self, word: str) -> bytes:
-        raw = word.encode().decode("latin-1").translate(self.characters)
-        return np.asarray([t.id for t in self.model.tokenize(raw)], "<u4").tobytes()
-
-    def plain(self, text: str) -> bytes:
-        return b"".join(map(self.words.__getitem__, self.pretokens(text)))
-
-    def _inner(self, piece: str) -> bytes:
-        """A piece after a blank that belongs to it."""
-        if not piece or piece[0].isspace() or piece[-1].isspace():
-            raise _Unsafe
-        return self.plain(" " + piece)
-
-    def _first(self, piece: str) -> bytes:
-        if not piece or piece[-1].isspace():
-            raise _Unsafe
-        return self.plain(piece)
-
-    def ids(self, text: str) -> bytes:
+        self.model, self.shown = self.tokenizer.model, _shown()
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.newline, self.marks = self.whole("\n"), {m: self.whole(m) for m in ".,;:!?"}
+        raw = np.arange(self.tokenizer.get_vocab_size(), dtype="<u4").tobytes()
+        self.raw = [raw[k : k + 4] for k in range(0, len(raw), 4)]
+        self.first, self.inner = _Memo(self, ""), _Memo(self, " ")
+
+    def whole(self, text: str) -> bytes:
+        """The library's own call."""
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def word(self, pretoken: str) -> bytes:
+        return b"".join([self.raw[t.id] for t in self.model.tokenize(pretoken.translate(self.shown))])
+
+    def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
-        pieces = text.split(" ")
+        if any(a in text for a in self.added):
+            return self.whole(text)
+        first, inner, lines = self.first, self.inner.__getitem__, []
         try:
-            return b"".join([self.first[pieces[0]], *map(self.inner.__getitem__, pieces[1:])])
-        except _Unsafe:
-            return self.plain(text)
-
-
-_encoders: dict[str, BpeEncoder] = {}
+            for line in text.split("\n"):
+                pieces = line.split(" ")
+                pieces[0] = first[pieces[0]]
+                pieces[1:] = map(inner, pieces[1:])
+                lines.append(b"".join(pieces))
+        except _Whole:
+            return self.whole(text)
+        return self.newline.join(lines)
 
 
 def encoder(name: str = VOCABULARY) -> BpeEncoder:
     """The worker's encoder of a vocabulary file (a name in ``public_tokenizers`` or a path)."""
-    if name not in _encoders:
+    from vellumine.llm.common import one_model
+
+    def load() -> BpeEncoder:
         if os.path.sep in name:
-            path = name
-        else:
-            import public_tokenizers
+            return BpeEncoder(name)
+        import public_tokenizers
+
+        return BpeEncoder(public_tokenizers.path(name))
 
-            path = public_tokenizers.path(name)
-        _encoders[name] = BpeEncoder(path)
-    return _encoders[name]
+    return one_model(("bpe", name), load)

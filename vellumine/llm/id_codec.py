@@ -4,18 +4,19 @@ A block holds whole documents' ids. Its ids are laid out over lanes of at most `
 and all lanes are coded in step, one id of each at a time, against models that the block's
 lanes share and that start afresh with each block:
 
-* order 2 and order 1 each predict one id, the last that followed the same two ids (hashed) or
-  the same id, and know how often in a row they were right;
-* order 0 is the adaptive frequency of ids that were not predicted.
-
-For each id, the coder first codes who is right: order 2, order 1 or neither. That distribution
-mixes three adaptive ones (given the order-2 confidence, given the order-1 confidence, given the
-lane's last outcome) by weights that follow, per confidence pair, how well each has done. An id
-that neither predicts is coded by order 0. All arithmetic is on integers, so the reader follows
-the writer exactly. The range coder keeps 64 bits, emits 32-bit words and carries into them.
-
-Files are Parquet rows, one coded block each, so that Spark's committer writes them to any store
-and a lost task is written again. Every block has a CRC-32 of its bytes and one of its ids.
+* order 2 predicts the id that most often followed the same two ids (hashed), with a confidence;
+* order 1 is the distribution of all ids that followed the same id, by adaptive counts;
+* order 0 is the adaptive distribution of the ids that neither foresaw.
+
+For each id the coder first codes which order gives it. That choice mixes three adaptive
+distributions (of increasingly narrow contexts: the order-2 confidence and the lane's last choice;
+that confidence and how settled order 1 is; all of them) by weights that follow how well each has
+done. Then order 1 or order 0 codes the id. Counts take in new ids after each eighth part more. All arithmetic is on integers, so the reader
+follows the writer exactly. The range coder keeps 64 bits, emits 32-bit words and carries into them.
+
+A block begins with the list of its distinct ids, so ids may be any unsigned 32-bit numbers. Files
+are Parquet rows, one coded block each, so that Spark's committer writes them to any store and a
+lost task is written again. Every block has a CRC-32 of its bytes and one of its ids.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ import uuid
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,17 +35,29 @@ from pyspark.sql import types as T
 from vellumine.llm.bpe import END_ID, VOCABULARY, encoder
 from vellumine.llm.common import partitions, shared_dir
 
-MAGIC = b"VIC1"
+MAGIC = b"VIC2"
 LANE = 512
 #: A block closes with the document that reaches so many ids.
-BLOCK_IDS = 1 << 20
-_ALPHABET = 1 << 16
+BLOCK_IDS = 1 << 21
+#: Blocks whose starts (two numbers each) may be broadcast.
+BROADCAST_BLOCKS = 1 << 20
 _CTX2_BITS = 18
 _STEP = 8
 _HEADER = struct.Struct("<4sIIIIII")
 _U32 = np.uint64(32)
 _LOW32 = np.uint64(0xFFFFFFFF)
 _TOP = np.uint64(1) << np.uint64(32)
+_CHOICE = np.uint64(4096)
+_NONE, _ONE = np.uint64(0), np.uint64(1)
+#: Steps after which the choice's distributions take in what was chosen.
+_MIX_STEPS = 4
+#: Confidence x how settled x last choice, and the narrower contexts of each.
+_GRID = np.arange(4 * 32 * 3)
+_PARTS = (_GRID // 96 * 3 + _GRID % 3, _GRID // 3, _GRID)
+_SIZES = (12, 128, 384)
+_POWERS = 1 << np.arange(1, 8)
+#: The next order-2 confidence, by the last one and whether the guess was right.
+_NEXT_SURE = np.array([1, 1, 1, 2, 1, 3, 2, 3], np.int16)
 
 
 class CorruptBlock(ValueError):
@@ -51,69 +65,95 @@ class CorruptBlock(ValueError):
 
 
 class _Models:
-    """What writer and reader know alike before each step."""
-
-    def __init__(self, lanes: int):
-        self.pred1, self.conf1 = np.zeros(_ALPHABET, np.int64), np.zeros(_ALPHABET, np.int64)
-        self.pred2, self.conf2 = np.zeros(1 << _CTX2_BITS, np.int64), np.zeros(1 << _CTX2_BITS, np.int64)
-        self.prev1, self.prev2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.last = np.full(lanes, 2, np.int64)
-        #: Outcome counts given the last outcome, the order-1 and the order-2 confidence.
-        self.by = [np.ones((3, 3), np.int64) * 4, np.ones((8, 3), np.int64) * 4, np.ones((4, 3), np.int64) * 4]
-        grid = np.arange(96)
-        self.of = [grid // 32, grid // 4 % 8, grid % 4]
-        self.weight = np.full((3, 96), 1 << 14, np.int64)
-        self.count = np.zeros(_ALPHABET, np.int64)
-        self.pending: list[np.ndarray] = []
-        self.waiting, self.seen = 0, 0
-        self.alphabet = 0
-
-    def begin(self, alphabet: int) -> None:
-        self.alphabet = alphabet
-        self.count[:alphabet] = 1
-        self._sum()
-
-    def _sum(self) -> None:
-        self.cum = np.concatenate([[0], np.cumsum(self.count[: self.alphabet])]).astype(np.uint64)
-        self.total = self.cum[-1]
-
-    def look(self) -> None:
-        """The step's contexts, predictions and outcome frequencies (of 4096)."""
-        self.at2 = ((self.prev2 * 40503 + self.prev1 * 9973) >> 2) & ((1 << _CTX2_BITS) - 1)
-        self.guess2, self.guess1 = self.pred2[self.at2], self.pred1[self.prev1]
-        c2, c1 = self.conf2[self.at2], self.conf1[self.prev1]
-        self.ctx = self.last * 32 + (c1 * 2 + (self.guess1 == self.guess2)) * 4 + c2
-        parts = [(b * 4032 // b.sum(axis=1, keepdims=True))[o] + 16 for b, o in zip(self.by, self.of)]
-        mixed = sum(w[:, None] * p for w, p in zip(self.weight, parts)) // self.weight.sum(axis=0)[:, None]
-        mixed = np.maximum(mixed, 1)
-        mixed[:, 2] = 4096 - mixed[:, 0] - mixed[:, 1]
-        self.parts, self.mixed = parts, mixed
-        self.table = np.concatenate([np.zeros((96, 1), np.int64), np.cumsum(mixed, axis=1)], axis=1).astype(np.uint64)
-
-    def outcomes(self, ids: np.ndarray) -> np.ndarray:
-        return np.where(ids == self.guess2, 0, np.where(ids == self.guess1, 1, 2))
-
-    def learn(self, ids: np.ndarray, outcome: np.ndarray, literals: np.ndarray) -> None:
-        seen = np.bincount(self.ctx * 3 + outcome, minlength=288).reshape(96, 3)
-        for k, (b, o) in enumerate(zip(self.by, self.of)):
-            np.add.at(b, o, seen)
-            b[b.sum(axis=1) > 1 << 16] //= 2
-            b[:] = np.maximum(b, 1)
-            gain = ((self.parts[k] - self.mixed) * seen).sum(axis=1)
-            self.weight[k] = np.clip(self.weight[k] + (gain >> 4), 256, 1 << 16)
-        right2, right1 = outcome == 0, ids == self.guess1
-        self.conf2[self.at2] = np.where(right2, np.minimum(self.conf2[self.at2] + 1, 3), 0)
-        self.conf1[self.prev1] = np.where(right1, np.minimum(self.conf1[self.prev1] + 1, 3), 0)
-        self.pred2[self.at2], self.pred1[self.prev1] = ids, ids
-        self.prev2, self.prev1, self.last = self.prev1, ids, outcome
-        if len(literals):
-            self.pending.append(literals)
-            self.waiting += len(literals)
-            if self.waiting >= max(512, self.seen >> 4):
-                self.count += np.bincount(np.concatenate(self.pending), minlength=_ALPHABET) * _STEP
-                self.seen += self.waiting
-                self.pending, self.waiting = [], 0
-                self._sum()
+    """What writer and reader know alike before each step. Ids are places in the block's list of
+    distinct ids; the place ``alphabet`` stands for none."""
+
+    def __init__(self, lanes: int, alphabet: int):
+        self.lanes, self.alphabet, self.stride = lanes, alphabet, alphabet + 1
+        self.guesses, self.sure = np.full(1 << _CTX2_BITS, alphabet, np.int32), np.zeros(1 << _CTX2_BITS, np.int16)
+        self.prev1, self.prev2 = np.full(lanes, alphabet), np.full(lanes, alphabet)
+        self.last = np.full(lanes, 2)
+        self.by = [np.full((n, 3), 4, np.int64) for n in _SIZES]
+        self.weight = np.full((3, len(_GRID)), 1 << 14, np.int64)
+        self.chosen: list[np.ndarray] = []
+        self.mix()
+        #: Order 0, and order 1: ascending (id before, id) keys with an end mark, and their counts.
+        self.count = np.ones(alphabet, np.int64)
+        self.keys, self.counts = np.array([1 << 62]), np.zeros(1, np.int64)
+        self.seen = 0
+        self._index()
+
+    def know(self, keys: np.ndarray) -> None:
+        """The writer knows all keys from the start; those not seen yet count nothing."""
+        self.keys, self.counts = np.append(keys, 1 << 62), np.zeros(len(keys) + 1, np.int64)
+        self._index()
+
+    def _index(self) -> None:
+        self.first = np.searchsorted(self.keys, np.arange(self.alphabet + 2) * self.stride)
+
+    def follow(self, keys: np.ndarray) -> None:
+        """Count new (id before, id) keys, as the reader meets them."""
+        new, times = np.unique(keys, return_counts=True)
+        at = np.searchsorted(self.keys, new)
+        old = self.keys[at] == new
+        self.counts[at[old]] += times[old]
+        if not old.all():
+            self.keys = np.insert(self.keys, at[~old], new[~old])
+            self.counts = np.insert(self.counts, at[~old], times[~old])
+            self._index()
+
+    def take_in(self) -> int:
+        """Make the counts distributions; the number of steps until this is due again."""
+        self.cum = np.concatenate([[0], np.cumsum(self.counts)])
+        first = self.first
+        self.base = self.cum[first[:-1]]
+        self.total1 = self.cum[first[1:]] - self.base
+        kinds = np.concatenate([[0], np.cumsum(self.counts > 0)])
+        kinds = np.minimum(4 * (kinds[first[1:]] - kinds[first[:-1]]) // np.maximum(self.total1, 1), 3)
+        self.settled = (np.searchsorted(_POWERS, self.total1, "right") * 4 + kinds) * 3
+        self.cum0 = np.concatenate([[0], np.cumsum(self.count)])
+        return max(1, max(256, self.seen >> 3) // self.lanes)
+
+    def miss(self, literals: np.ndarray) -> None:
+        self.count += np.bincount(literals, minlength=self.alphabet) * _STEP
+
+    def mix(self) -> None:
+        """Take the choices that were seen into their distributions and mix these anew."""
+        if self.chosen:
+            seen = np.bincount(np.concatenate(self.chosen), minlength=3 * len(_GRID)).reshape(-1, 3)
+            for k, (b, o) in enumerate(zip(self.by, _PARTS)):
+                b += np.bincount((o[:, None] * 3 + np.arange(3)).ravel(), seen.ravel(), b.size).astype(np.int64).reshape(b.shape)
+                b[b.sum(axis=1) > 1 << 14] //= 2
+                np.maximum(b, 1, out=b)
+                gain = ((self.parts[k] - self.mixed) * seen).sum(axis=1)
+                self.weight[k] = np.clip(self.weight[k] + (gain >> 4), 256, 1 << 16)
+            self.chosen = []
+        self.parts = [((b * 4032) // b.sum(axis=1, keepdims=True) + 16)[o] for b, o in zip(self.by, _PARTS)]
+        mixed = sum(w[:, None] * p for w, p in zip(self.weight, self.parts)) // self.weight.sum(axis=0)[:, None]
+        self.mixed = np.maximum(mixed, 1)
+        self.mixed[:, 2] = 4096 - self.mixed[:, 0] - self.mixed[:, 1]
+        self.size = self.mixed.ravel().astype(np.uint64)
+        self.low = np.concatenate([np.zeros((len(_GRID), 1), np.int64), np.cumsum(self.mixed[:, :2], axis=1)], axis=1).ravel()
+        self.low, self.second, self.third = self.low.astype(np.uint64), self.low[1::3].copy(), self.low[2::3].copy()
+
+    def look(self, settled: np.ndarray) -> None:
+        """The step's guesses and contexts."""
+        at2 = self.prev2 * 40503
+        at2 += self.prev1 * 9973
+        at2 >>= 2
+        at2 &= (1 << _CTX2_BITS) - 1
+        self.at2, self.guess, self.conf = at2, self.guesses[at2], self.sure[at2]
+        self.context = self.conf * 96 + settled + self.last
+
+    def learn(self, ids: np.ndarray, choice: np.ndarray) -> None:
+        self.chosen.append(self.context * 3 + choice)
+        if len(self.chosen) == _MIX_STEPS:
+            self.mix()
+        right, conf = choice == 0, self.conf
+        self.guesses[self.at2] = np.where(right | (conf > 1), self.guess, ids)
+        self.sure[self.at2] = _NEXT_SURE[conf * 2 + right]
+        self.seen += self.lanes
+        self.prev2, self.prev1, self.last = self.prev1, ids, choice
 
 
 class _Writer:
@@ -121,97 +161,101 @@ class _Writer:
         self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, ~np.uint64(0))
         self.words, self.at = np.zeros((lanes, 2 * steps + 4), np.uint32), np.zeros(lanes, np.int64)
 
-    def code(self, lanes, low, size, total) -> None:
-        """lanes: indices, or None for all."""
-        whole = lanes is None
-        before, width = (self.low, self.range) if whole else (self.low[lanes], self.range[lanes])
-        unit = width // total
-        after = before + unit * low
-        for i in np.flatnonzero(after < before):
-            lane = i if whole else lanes[i]
-            k = self.at[lane] - 1
-            while True:
-                self.words[lane, k] += np.uint32(1)
-                if self.words[lane, k]:
-                    break
-                k -= 1
+    def _carry(self, lanes: np.ndarray) -> None:
+        k = self.at[lanes] - 1
+        while len(lanes):
+            self.words[lanes, k] += np.uint32(1)
+            over = self.words[lanes, k] == 0
+            lanes, k = lanes[over], k[over] - 1
+
+    def code(self, low, size, total) -> None:
+        unit = self.range // total
+        after = self.low + unit * low
+        over = np.flatnonzero(after < self.low)
+        if len(over):
+            self._carry(over)
         width = unit * size
         short = np.flatnonzero(width < _TOP)
         if len(short):
-            at = short if whole else lanes[short]
-            self.words[at, self.at[at]] = after[short] >> _U32
-            self.at[at] += 1
-            after[short] = (after[short] & _LOW32) << _U32
+            part, at = after[short], self.at[short]
+            self.words[short, at] = part >> _U32
+            self.at[short] = at + 1
+            after[short] = part << _U32
             width[short] <<= _U32
-        if whole:
-            self.low, self.range = after, width
-        else:
-            self.low[lanes], self.range[lanes] = after, width
+        self.low, self.range = after, width
 
     def end(self) -> tuple[np.ndarray, np.ndarray]:
-        rows = np.arange(len(self.at))
-        self.words[rows, self.at] = self.low >> _U32
-        self.words[rows, self.at + 1] = self.low & _LOW32
-        sizes = self.at + 2
+        """One more word a lane: the range is wide enough to hold a number with 32 zeros."""
+        last = self.low + _LOW32
+        self._carry(np.flatnonzero(last < self.low))
+        self.words[np.arange(len(self.at)), self.at] = last >> _U32
+        sizes = self.at + 1
         return sizes, self.words[np.arange(self.words.shape[1])[None, :] < sizes[:, None]]
 
 
 class _Reader:
     def __init__(self, sizes: np.ndarray, words: np.ndarray):
-        self.words = np.concatenate([words, np.zeros(4, np.uint32)]).astype(np.uint64)
-        self.at = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-        self.code = (self.words[self.at] << _U32) | self.words[self.at + 1]
-        self.at, self.range = self.at + 2, np.full(len(sizes), ~np.uint64(0))
-
-    def value(self, lanes, total):
-        self.unit = (self.range if lanes is None else self.range[lanes]) // total
-        return np.minimum((self.code if lanes is None else self.code[lanes]) // self.unit, total - np.uint64(1))
-
-    def accept(self, lanes, low, size) -> None:
-        whole = lanes is None
-        code = (self.code if whole else self.code[lanes]) - self.unit * low
-        width = self.unit * size
+        self.words = np.zeros((len(sizes), int(sizes.max()) + 4), np.uint64)
+        self.words[np.arange(self.words.shape[1])[None, :] < sizes[:, None]] = words
+        self.code = (self.words[:, 0] << _U32) | self.words[:, 1]
+        self.at, self.range = np.full(len(sizes), 2), np.full(len(sizes), ~np.uint64(0))
+
+    def value(self, total) -> np.ndarray:
+        self.unit = self.range // total
+        return np.minimum(self.code // self.unit, total - _ONE).astype(np.int64)
+
+    def accept(self, low, size) -> None:
+        code, width = self.code - self.unit * low, self.unit * size
         short = np.flatnonzero(width < _TOP)
         if len(short):
-            at = short if whole else lanes[short]
-            code[short] = (code[short] << _U32) | self.words[self.at[at]]
-            self.at[at] += 1
+            at = self.at[short]
+            code[short] = (code[short] << _U32) | self.words[short, np.minimum(at, self.words.shape[1] - 1)]
+            self.at[short] = at + 1
             width[short] <<= _U32
-        if whole:
-            self.code, self.range = code, width
-        else:
-            self.code[lanes], self.range[lanes] = code, width
+        self.code, self.range = code, width
 
 
 def encode_ids(ids: np.ndarray) -> bytes:
-    """One block of ids (each under 65,536) as bytes."""
+    """One block of ids (unsigned 32-bit) as bytes."""
     n = len(ids)
     steps = min(LANE, n)
     lanes = -(-n // steps) if n else 0
-    alphabet = int(ids.max()) + 1 if n else 0
-    body = b""
+    places, known = pd.factorize(np.asarray(ids, np.int64), sort=True)
+    listed = zlib.compress(np.ascontiguousarray(np.diff(known, prepend=0).astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 9)
+    body = struct.pack("<I", len(listed)) + listed
     if n:
         grid = np.zeros(lanes * steps, np.int64)
-        grid[:n] = ids
+        grid[:n] = places
         grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)
-        m, w = _Models(lanes), _Writer(lanes, steps)
-        m.begin(alphabet)
-        for row in grid:
-            m.look()
-            outcome = m.outcomes(row)
-            f = m.table[m.ctx]
-            low = np.take_along_axis(f, outcome[:, None], 1)[:, 0]
-            w.code(None, low, np.take_along_axis(f, outcome[:, None] + 1, 1)[:, 0] - low, np.uint64(4096))
-            missed = np.flatnonzero(outcome == 2)
-            literals = row[missed]
-            if len(missed):
-                low = m.cum[literals]
-                w.code(missed, low, m.cum[literals + 1] - low, m.total)
-            m.learn(row, outcome, literals)
+        m, w, due = _Models(lanes, len(known)), _Writer(lanes, steps), 0
+        before = np.concatenate([m.prev1[None, :], grid[:-1]])
+        rank, keys = pd.factorize((before * m.stride + grid).ravel(), sort=True)
+        m.know(keys)
+        rank = rank.reshape(grid.shape)
+        for t, row in enumerate(grid):
+            if t == due:
+                if t:
+                    m.counts[:-1] += np.bincount(rank[begin:t].ravel(), minlength=len(keys))
+                    m.miss(grid[begin:t][other == 2])
+                begin, due = t, t + m.take_in()
+                at, x, b = rank[t:due], grid[t:due], before[t:due]  # counts stay until then: all steps at once
+                other = 2 - (m.counts[at] > 0)
+                one = other == 1
+                low2, size2 = np.where(one, m.cum[at] - m.base[b], m.cum0[x]).astype(np.uint64), np.where(one, m.counts[at], m.count[x]).astype(np.uint64)
+                total2, settled = np.where(one, m.total1[b], m.cum0[-1]).astype(np.uint64), m.settled[b]
+            k = t - begin
+            m.look(settled[k])
+            right = row == m.guess
+            choice = np.where(right, 0, other[k])
+            other[k] = choice
+            place = m.context * 3 + choice
+            w.code(m.low[place], m.size[place], _CHOICE)
+            w.code(np.where(right, _NONE, low2[k]), np.where(right, _ONE, size2[k]), np.where(right, _ONE, total2[k]))
+            m.learn(row, choice)
         sizes, words = w.end()
-        body = sizes.astype("<u4").tobytes() + words.astype("<u4").tobytes()
+        body += sizes.astype("<u2").tobytes() + words.astype("<u4").tobytes()
     check = zlib.crc32(np.asarray(ids, "<u4").tobytes())
-    return _HEADER.pack(MAGIC, n, lanes, steps, alphabet, check, zlib.crc32(body)) + body
+    return _HEADER.pack(MAGIC, n, lanes, steps, len(known), check, zlib.crc32(body)) + body
 
 
 def decode_ids(block: bytes) -> np.ndarray:
@@ -224,26 +268,43 @@ def decode_ids(block: bytes) -> np.ndarray:
         raise CorruptBlock("the block's bytes are damaged")
     if not n:
         return np.zeros(0, "<u4")
-    sizes = np.frombuffer(body, "<u4", lanes).astype(np.int64)
-    r = _Reader(sizes, np.frombuffer(body, "<u4", int(sizes.sum()), 4 * lanes))
-    m, grid = _Models(lanes), np.zeros((steps, lanes), np.int64)
-    m.begin(alphabet)
-    for row in grid:
-        m.look()
-        v, f = r.value(None, np.uint64(4096)), m.table[m.ctx]
-        outcome = (v >= f[:, 1]).astype(np.int64) + (v >= f[:, 2])
-        low = np.take_along_axis(f, outcome[:, None], 1)[:, 0]
-        r.accept(None, low, np.take_along_axis(f, outcome[:, None] + 1, 1)[:, 0] - low)
-        row[:] = np.where(outcome == 0, m.guess2, m.guess1)
-        missed = np.flatnonzero(outcome == 2)
-        literals = np.zeros(0, np.int64)
-        if len(missed):
-            literals = np.searchsorted(m.cum, r.value(missed, m.total), "right") - 1
-            low = m.cum[literals]
-            r.accept(missed, low, m.cum[literals + 1] - low)
-            row[missed] = literals
-        m.learn(row, outcome, literals)
-    ids = grid.T.reshape(-1)[:n].astype("<u4")
+    listed = struct.unpack_from("<I", body)[0]
+    planes = np.frombuffer(zlib.decompress(body[4 : 4 + listed]), np.uint8).reshape(4, alphabet)
+    known = np.cumsum(np.ascontiguousarray(planes.T).view("<u4")[:, 0], dtype=np.int64)
+    sizes = np.frombuffer(body, "<u2", lanes, 4 + listed).astype(np.int64)
+    r = _Reader(sizes, np.frombuffer(body, "<u4", int(sizes.sum()), 4 + listed + 2 * lanes))
+    m, grid, due = _Models(lanes, alphabet), np.zeros((steps, lanes), np.int64), 0
+    choices = np.zeros((steps, lanes), np.int64)
+    for t in range(steps):
+        if t == due:
+            if t:
+                before = np.concatenate([start[None, :], grid[begin : t - 1]])
+                m.follow(before * m.stride + grid[begin:t])
+                m.miss(grid[begin:t][choices[begin:t] == 2])
+            begin, start, due = t, m.prev1, t + m.take_in()
+        m.look(m.settled[m.prev1])
+        v = r.value(_CHOICE)
+        choice = (v >= m.second[m.context]).astype(np.int64) + (v >= m.third[m.context])
+        place = m.context * 3 + choice
+        r.accept(m.low[place], m.size[place])
+        row = m.guess.astype(np.int64)
+        one, two = np.flatnonzero(choice == 1), np.flatnonzero(choice == 2)
+        before = m.prev1[one]
+        total, low, size = np.ones(lanes, np.uint64), np.zeros(lanes, np.uint64), np.ones(lanes, np.uint64)
+        total[one], total[two] = m.total1[before], m.cum0[-1]
+        v, base = r.value(total), m.base[before]
+        at = np.minimum(np.searchsorted(m.cum, base + v[one], "right") - 1, len(m.keys) - 1)
+        x = np.minimum(np.searchsorted(m.cum0, v[two], "right") - 1, alphabet - 1)
+        low[one], low[two] = m.cum[at] - base, m.cum0[x]
+        size[one], size[two] = m.counts[at], m.count[x]
+        r.accept(low, size)
+        row[one], row[two] = m.keys[at] - before * m.stride, x
+        m.learn(row, choice)
+        grid[t], choices[t] = row, choice
+    places = grid.T.reshape(-1)[:n]
+    if (places >= alphabet).any() or (places < 0).any():
+        raise CorruptBlock("the block's ids are damaged")
+    ids = known[places].astype("<u4")
     if zlib.crc32(ids.tobytes()) != check:
         raise CorruptBlock("the block's ids are damaged")
     return ids
@@ -264,9 +325,11 @@ def _read_index(raw: bytes) -> tuple[list[int | None], np.ndarray]:
 
 
 def write_ids(df: DataFrame, path: str, vocabulary: str = VOCABULARY, end_id: int = END_ID) -> None:
-    """Encode ``doc_id, text`` in ascending doc_id order (null ids first, equal ids by text) and
-    write coded blocks under ``path``. Null and empty texts have the end id only; every row is
-    written, repeated ones too; other columns don't matter."""
+    """Encode ``doc_id, text`` in ascending doc_id order (null ids first, equal ids by the texts'
+    hashes, so that rows of one id may spread over ranges) and write coded blocks under ``path``.
+    Null and empty texts have the end id only; every row is written, repeated ones too; other
+    columns don't matter. A block holds whole documents: a worker's buffer is one block's ids and
+    those of its last text."""
 
     def run(batches):
         from pyspark import TaskContext
@@ -293,36 +356,43 @@ def write_ids(df: DataFrame, path: str, vocabulary: str = VOCABULARY, end_id: in
         if docs:
             yield close()
 
-    ordered = df.select("doc_id", "text").repartitionByRange(partitions(df.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(run, BLOCKS).write.parquet(path)
+    rows = df.select("doc_id", "text", F.xxhash64("text").alias("h"))
+    ordered = rows.repartitionByRange(partitions(df.sparkSession), "doc_id", "h").sortWithinPartitions("doc_id", "h", "text")
+    ordered.select("doc_id", "text").mapInArrow(run, BLOCKS).write.parquet(path)
 
 
 def read_ids(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
     """Documents of coded files: doc_id, start, n_tokens, ids_crc32, and ``ids`` (binary, 32-bit
-    little-endian) on request. ``start`` comes from the blocks' own counts, summed by shard."""
+    little-endian) on request. ``start`` comes from the blocks' own counts, summed by shard: two
+    numbers a block, broadcast up to ``BROADCAST_BLOCKS`` of them, so that payloads stay in place;
+    beyond that the documents' rows, not the payloads, are joined with their block's start."""
     blocks = spark.read.schema(BLOCKS).parquet(path)
     counts = blocks.select("shard", "block", "n_ids")
     shards = counts.groupBy("shard").agg(F.sum("n_ids").alias("n"))
     before = shards.select(F.col("shard").alias("s"), (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("shard_start"))
     inside = Window.partitionBy("shard").orderBy("block")
     starts = counts.select(F.col("shard").alias("s"), F.col("block").alias("b"), (F.sum("n_ids").over(inside) - F.col("n_ids")).alias("block_start")).join(before, "s")
-    starts = starts.select("s", "b", (F.col("shard_start") + F.col("block_start")).alias("start"))
-    placed = blocks.join(starts, (F.col("shard") == F.col("s")) & (F.col("block") == F.col("b"))).select("start", "documents", "payload")
-    fields = [("doc_id", T.LongType()), ("start", T.LongType()), ("n_tokens", T.LongType()), ("ids_crc32", T.LongType())] + [("ids", T.BinaryType())] * with_ids
-    schema = T.StructType([T.StructField(*f) for f in fields])
+    starts = starts.select("s", "b", (F.col("shard_start") + F.col("block_start")).alias("block_at"))
+    if blocks.count() <= BROADCAST_BLOCKS:
+        starts = F.broadcast(starts)
+    fields = [("s", T.IntegerType()), ("b", T.IntegerType()), ("doc_id", T.LongType()), ("at", T.LongType()), ("n_tokens", T.LongType()), ("ids_crc32", T.LongType())]
+    schema = T.StructType([T.StructField(*f) for f in fields + [("ids", T.BinaryType())] * with_ids])
 
     def run(batches):
         for batch in batches:
             for k in range(batch.num_rows):
-                start, documents, payload = (batch.column(c)[k].as_py() for c in range(3))
+                shard, block, documents, payload = (batch.column(c)[k].as_py() for c in range(4))
                 raw = decode_ids(payload).tobytes()
                 docs, sizes = _read_index(documents)
                 at = np.concatenate([[0], np.cumsum(sizes.astype(np.int64))])
-                own = [raw[4 * a : 4 * b] for a, b in zip(at[:-1], at[1:])]
-                cells = [pa.array(docs, pa.int64()), pa.array(at[:-1] + start, pa.int64()), pa.array(sizes, pa.int64()), pa.array([zlib.crc32(x) for x in own], pa.int64())]
-                yield pa.RecordBatch.from_arrays(cells + [pa.array(own, pa.binary())] * with_ids, names=[f[0] for f in fields])
-
-    return placed.mapInArrow(run, schema)
+                own = [raw[4 * a : 4 * b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+                cells = [pa.array([shard] * len(docs), pa.int32()), pa.array([block] * len(docs), pa.int32()), pa.array(docs, pa.int64()), pa.array(at[:-1], pa.int64())]
+                cells += [pa.array(sizes, pa.int64()), pa.array(map(zlib.crc32, own), pa.int64())] + [pa.array(own, pa.binary())] * with_ids
+                yield pa.RecordBatch.from_arrays(cells, names=schema.names)
+
+    documents = blocks.select("shard", "block", "documents", "payload").mapInArrow(run, schema)
+    placed = documents.join(starts, ["s", "b"])
+    return placed.select("doc_id", (F.col("block_at") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)
 
 
 def encode_and_read_back(df: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
