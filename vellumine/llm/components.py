@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellumine.llm.common import materialise
+from vellumine.llm.common import discard, materialise
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -25,7 +25,8 @@ def components(links: DataFrame) -> DataFrame:
         large = large.unionByName(e.join(low, F.col("u") == F.col("c")).select("u", F.col("m").alias("v"))).filter("u > v").distinct()
         low = large.groupBy(F.col("u").alias("c")).agg(F.min("v").alias("m"))
         small = large.join(low, F.col("u") == F.col("c")).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*")
-        e = materialise(small.filter("u > v").distinct(), "links")
+        spent, e = e, materialise(small.filter("u > v").distinct(), "links")
+        discard(spent)
         now = e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == before:
             break

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellumine.llm.common import materialise, partitions
+from vellumine.llm.common import discard, materialise, one_model, partitions
 from vellumine.llm.components import components
 from vellumine.llm.shingles import shingle_sets, signature
 
@@ -79,12 +79,14 @@ def _chunk_sets(texts: list[str | None]) -> tuple[list[np.ndarray], list[bytes]]
 
 
 def document_sets(df: DataFrame, chunks: int) -> DataFrame:
-    """Steps 1 and 2: (doc_id, n, sig, shared) per row; ``shared`` is null if the row cannot link:
-    its shared shingles rarest first, 8 bytes each."""
+    """Steps 1 and 2: (doc_id, n, sig, shared) per row; ``shared`` holds the shared shingles of a
+    set that may link, rarest first, 8 bytes each, at one row a chunk of those that have the set.
+    Texts are shuffled once: both passes over them read the same exchange."""
     ranges = max(1, chunks)
-    docs = df.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(chunks)).cast("int").alias("chunk"))
+    docs = df.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int").alias("chunk"))
 
     def tally(table: pa.Table) -> pa.Table:
+        one_model("shingles", lambda: None)
         sets, names = _chunk_sets(table.column("text").to_pylist())
         distinct = [s for s, _ in {name: (s, 0) for s, name in zip(sets, names)}.values()]
         keys, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *distinct]) >> _SHIFT, return_counts=True)
@@ -135,10 +137,10 @@ def document_sets(df: DataFrame, chunks: int) -> DataFrame:
         return pa.table({
             "doc_id": table.column("doc_id").cast(pa.int64()) if table.num_rows else pa.array([], pa.int64()),
             "n": pa.array([len(s) for s in sets], pa.int64()), "sig": pa.array(names, pa.binary()),
-            "shared": pa.array([packed[name] for name in names], pa.binary()),
+            "shared": pa.array([packed.pop(name, None) for name in names], pa.binary()),
         })
 
-    tallies = docs.select("text", "chunk").groupBy("chunk").applyInArrow(tally, "part int, chunk int, payload binary")
+    tallies = docs.groupBy("chunk").applyInArrow(tally, "part int, chunk int, payload binary")
     answers = tallies.groupBy("part").applyInArrow(answer, "chunk int, payload binary")
     return docs.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(select, "doc_id long, n long, sig binary, shared binary")
 
@@ -213,7 +215,9 @@ def _open_groups(rows: DataFrame, comps: DataFrame | None) -> DataFrame:
         tagged = rows.join(comps, F.col("x.sig") == F.col("node"), "left").select("h", "x", F.coalesce("root", "x.sig").alias("comp"))
     tagged = materialise(tagged, "prefix")
     sizes = tagged.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1")
-    return tagged.join(sizes.select(F.col("h").alias("k"), "m"), F.col("h") == F.col("k")).drop("k")
+    found = materialise(tagged.join(sizes.select(F.col("h").alias("k"), "m"), F.col("h") == F.col("k")).drop("k"), "groups")
+    discard(tagged)
+    return found
 
 
 def _links(met: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -285,14 +289,15 @@ def _grid_links(rows: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def link_components(nodes: DataFrame) -> DataFrame:
     """Steps 3 and 4 on distinct sets (sig, n, shared): (node, root) of all linked nodes."""
-    rows = materialise(_open_groups(_prefixes(nodes), None), "groups")
+    rows = _open_groups(_prefixes(nodes), None)
     small, large = rows.filter(F.col("m") <= SMALL), rows.filter(F.col("m") > SMALL).select("h", "x")
     met = small.select(F.col("h").alias("ph"), F.col("x").alias("p")).join(small, (F.col("ph") == F.col("h")) & (F.col("x") > F.col("p")) & _may_link(F.col("p"), F.col("x")))
     pivots = large.groupBy("h").agg(F.min("x").alias("p")).select(F.col("h").alias("ph"), "p")
     first = large.join(pivots, (F.col("h") == F.col("ph")) & (F.col("x") > F.col("p")))
     links = _links(met.select("p", "x").unionByName(first.select("p", "x")), nodes)
     comps = materialise(components(links), "components")
-    rest = materialise(_open_groups(large, comps).select("h", "x", "comp"), "groups")
+    rest = _open_groups(large, comps).select("h", "x", "comp")
+    discard(rows, links)
     if not rest.isEmpty():
         links = comps.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(_grid_links(rest, nodes))
         comps = materialise(components(links), "components")
@@ -303,9 +308,12 @@ def jaccard_components(df: DataFrame) -> DataFrame:
     """One row per row of ``df`` (doc_id, text): doc_id, n_shingles, component_id."""
     spark = df.sparkSession
     chunks = max(partitions(spark), -(-df.count() // CHUNK_DOCS))
-    docs = materialise(document_sets(df, chunks), "sets")
-    nodes = docs.filter(F.col("shared").isNotNull()).groupBy("sig", "n").agg(F.max("shared").alias("shared"))
-    comps = link_components(materialise(nodes, "nodes"))
+    sets = materialise(document_sets(df, chunks), "sets")
+    nodes = materialise(sets.filter(F.col("shared").isNotNull()).groupBy("sig", "n").agg(F.max("shared").alias("shared")), "nodes")
+    docs = materialise(sets.select("doc_id", "n", "sig"), "documents")
+    discard(sets)
+    comps = link_components(nodes)
+    discard(nodes)
     named = docs.filter("n > 0").select("doc_id", "n", "sig").join(comps, F.col("sig") == F.col("node"), "left")
     named = named.select("doc_id", "n", F.coalesce("root", "sig").alias("g"))
     ids = named.groupBy("g").agg(F.min("doc_id").alias("component_id")).select(F.col("g").alias("k"), "component_id")
