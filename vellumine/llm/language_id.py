@@ -20,20 +20,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vellumine.llm.common import one_model
 from vellumine.llm.lattice import MARK, VOCABULARY, by_end, lattice, trie
 
 #: Labelled rows a language to fit on, in expectation.
 FIT_ROWS = 400
 ROUNDS = 3
 UNDECIDED = "und"
+#: A text of more words has the weight of so many in its score: words of a text are not independent
+#: evidence, and a long text of none of the languages would else be sure of one by chance.
+EVIDENCE_WORDS = 2.0
 #: Words a worker remembers before it starts afresh; bounds memory only.
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 300_000
 #: Words beyond this length go through the automaton, whose positions are not bound to 16 bits.
 LONGEST = 65_535
 #: In fitting, words beyond the first length are cut where no piece spans two characters (which is
 #: exact) and run in batches of their own, and batches close at the second number of characters.
 CUT_CHARS = 64
-BATCH_CHARS = 1 << 19
+BATCH_CHARS = 1 << 17
+#: Words whose lattices are run together in scoring, and texts looked up together.
+BATCH_WORDS = 8_192
+BATCH_TEXTS = 250
 #: What ``str.split`` splits at, for Spark.
 SPACES = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 #: Pseudo-count of every piece in every language, and the probability of a bare character.
@@ -157,51 +164,50 @@ def train(df: DataFrame, rows: int = FIT_ROWS, rounds: int = ROUNDS, vocabulary:
 class Scorer:
     def __init__(self, languages: list[str], prob: np.ndarray, vocabulary: str):
         self.languages, self.prob, self.vocabulary = languages, prob, vocabulary
-        self.lat = lattice(vocabulary)
-        self.line = np.log(np.full(len(languages), BARE))
         self._reset()
 
     def _reset(self) -> None:
         self.row: dict[str, int] = {}
-        self.logs = np.zeros((0, len(self.languages)))
+        self.logs = np.zeros((MEMO_WORDS, len(self.languages)))
 
     def learn(self, texts: list[str]) -> None:
-        if len(self.row) >= MEMO_WORDS:
-            self._reset()
+        """Score the texts' words that are not remembered yet. The table is laid out once; only one
+        batch of texts with more new words than that has a larger one for its time."""
         seen: set[str] = set()
         for t in texts:
             seen.update(t.split())
         new = [w for w in seen if w not in self.row]
-        added = []
-        for lo in range(0, len(new), 50_000):
-            chunk = new[lo : lo + 50_000]
-            added.append(forward([MARK + w for w in chunk], self.prob, self.vocabulary))
-        if added:
-            self.row.update(zip(new, range(len(self.row), len(self.row) + len(new))))
-            self.logs = np.concatenate([self.logs, *added])
+        if len(self.row) + len(new) > MEMO_WORDS:
+            self._reset()
+            new = list(seen)
+            if len(new) > MEMO_WORDS:
+                self.logs = np.zeros((len(new), len(self.languages)))
+        for lo in range(0, len(new), BATCH_WORDS):
+            chunk = new[lo : lo + BATCH_WORDS]
+            at = len(self.row)
+            self.logs[at : at + len(chunk)] = forward([MARK + w for w in chunk], self.prob, self.vocabulary)
+            self.row.update(zip(chunk, range(at, at + len(chunk))))
 
     def answer(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         labels, scores = [], []
-        for lo in range(0, len(texts), 1000):
-            part = [t or "" for t in texts[lo : lo + 1000]]
+        for lo in range(0, len(texts), BATCH_TEXTS):
+            part = [t or "" for t in texts[lo : lo + BATCH_TEXTS]]
             if self.languages:
                 self.learn(part)
             get = self.row.__getitem__
             for t in part:
+                words = t.split()
                 if not self.languages or not any(map(str.isalpha, t)):
                     labels.append(UNDECIDED)
                     scores.append(0.0)
                     continue
-                total = self.logs[list(map(get, t.split()))].sum(axis=0)
+                total = self.logs[list(map(get, words))].sum(axis=0)
                 k = int(total.argmax())
                 labels.append(self.languages[k])
-                scores.append(float(1.0 / np.exp(total - total[k]).sum()))
+                scores.append(float(1.0 / np.exp((total - total[k]) / max(1.0, len(words) / EVIDENCE_WORDS)).sum()))
         return labels, scores
 
 
-_scorers: dict[str, Scorer] = {}
-
-
 def predict(df: DataFrame, languages: list[str], prob: np.ndarray, text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """``df`` with ``lang_pred`` and ``score`` (columns of those names are replaced). ``und`` with
     score 0 if the text is null, empty or without a letter, or if nothing could be learned.
@@ -216,11 +222,9 @@ def predict(df: DataFrame, languages: list[str], prob: np.ndarray, text: str = "
 
         names, table = sent.value
         key = hashlib.sha1(repr(names).encode() + table.tobytes()).hexdigest()
-        if key not in _scorers:
-            _scorers.clear()
-            _scorers[key] = Scorer(names, table, vocabulary)
+        scorer = one_model(("languages", key), lambda: Scorer(names, table, vocabulary))
         for batch in batches:
-            labels, scores = _scorers[key].answer(batch.column(batch.schema.get_field_index(text)).to_pylist())
+            labels, scores = scorer.answer(batch.column(batch.schema.get_field_index(text)).to_pylist())
             columns = [batch.column(batch.schema.get_field_index(f.name)) for f in kept]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(labels, pa.string()), pa.array(scores, pa.float64())], names=[f.name for f in schema.fields])
 
