@@ -33,6 +33,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -73,18 +74,71 @@ STOP_GOOD = 0.2
 STOP_SOME = 0.1
 RARE = 1e-3
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|svg|math)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)>"
-    r"|<[!?][^>]*>",
-    re.S | re.I,
-)
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+RAW_TAGS = frozenset("script style noscript template svg math".split())
+#: Name parts of a header that is the site's, wherever it stands.
+SITE_PARTS = frozenset("site global masthead".split())
+
+_NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*")
+_RAW_END = {n: re.compile(rf"</{n}(?=[\s/>]|\Z)", re.I) for n in RAW_TAGS}
+_UNQUOTED = re.compile(r"[^>\"']*")
+_ATTRIBUTE = re.compile(r"([^\s=>\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
+_TELLING = frozenset("class id role hidden aria-hidden style".split())
 _NAME_PARTS = re.compile(r"[^a-z0-9]+")
 _SPACE = re.compile(r"\s+")
 
 
+def _tag_end(page: str, at: int) -> int:
+    """The place of the first > outside of quotes, or -1."""
+    while True:
+        at = _UNQUOTED.match(page, at).end()
+        if at == len(page):
+            return -1
+        if page[at] == ">":
+            return at
+        at = page.find(page[at], at + 1) + 1
+        if not at:
+            return -1
+
+
+def _tags(page: str):
+    """(start, end, is an end tag, name, attributes) of the page's tags; the name is None for what
+    only goes: comments, declarations, and scripts and the like with their content. Each part of
+    the page is read a bounded number of times: once a tag's quotes don't close, quotes are not
+    looked at any more, and an unclosed comment, script or tag takes all that is left."""
+    at, quotes, size = 0, True, len(page)
+    while (at := page.find("<", at)) >= 0:
+        start = at
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            at = end + 3 if end >= 0 else size
+            yield start, at, False, None, ""
+            continue
+        ending = page.startswith("/", at + 1)
+        m = _NAME.match(page, at + 1 + ending)
+        if m is None:
+            if page[at + 1 : at + 2] not in ("!", "?"):
+                at += 1
+                continue
+            end = page.find(">", at)
+            at = end + 1 if end >= 0 else size
+            yield start, at, False, None, ""
+            continue
+        end = _tag_end(page, m.end()) if quotes else -1
+        if end < 0:
+            quotes, end = False, page.find(">", m.end())
+        if end < 0:
+            yield start, size, False, None, ""
+            return
+        name, at = m.group().lower(), end + 1
+        if name in RAW_TAGS and not ending and page[end - 1] != "/":
+            close = _RAW_END[name].search(page, at)
+            end = page.find(">", close.end()) if close else -1
+            at = end + 1 if end >= 0 else size
+            yield start, at, False, None, ""
+        else:
+            yield start, at, ending, name, page[m.end() : end]
+
+
 class _Block:
     __slots__ = ("heading", "held", "inside", "link_chars", "marks", "out", "parts", "stops", "terse", "words")
 
@@ -107,16 +161,19 @@ class _Mark:
         self.long_winded = any(not LONG_WINDED.isdisjoint(_NAME_PARTS.split(n)) for n in names)
 
 
-def _marked_out(attributes: str) -> tuple[bool, set[str]]:
+def _marked_out(attributes: str, header: bool = False) -> tuple[bool, set[str]]:
     """Whether an element's own attributes hide it or give it a boilerplate role, and its
     boilerplate names."""
     out, names = False, set()
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
-        value, name = (a or b or c).lower(), name.lower()
+        name = name.lower()
+        if name not in _TELLING:
+            continue
+        value = (a or b or c).lower()
         if name in ("class", "id"):
             for n in value.split():
                 parts = _NAME_PARTS.split(n)
-                if not OUT_NAMES.isdisjoint(parts) and STATE_PARTS.isdisjoint(parts):
+                if (not OUT_NAMES.isdisjoint(parts) or header and not SITE_PARTS.isdisjoint(parts)) and STATE_PARTS.isdisjoint(parts):
                     names.add(n)
         elif name == "role":
             if value.strip() in OUT_ROLES:
@@ -150,49 +207,55 @@ def blocks(page: str) -> list[_Block]:
         if stack and stack[-1][3]:
             current.link_chars += len(decoded.strip())
 
-    def close(names: frozenset[str] | set[str], stop: frozenset[str] = frozenset()) -> None:
+    opened: Counter[str] = Counter()
+
+    def close(name: str, stop: frozenset[str] = frozenset()) -> None:
+        if not opened[name]:
+            return
         for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in names:
+            if stack[k][0] == name:
+                opened.subtract(e[0] for e in stack[k:])
                 del stack[k:]
                 return
             if stack[k][0] in stop:
                 return
 
-    for m in _TOKEN.finditer(page):
-        text(page[at : m.start()])
-        at = m.end()
-        name = m.group(3)
+    for start, end, ending, name, attributes in _tags(page):
+        text(page[at:start])
+        at = end
         if name is None:
             continue
-        name, ending, attributes = name.lower(), m.group(2), m.group(4)
         block = name in BLOCK_TAGS
         if block or name in OUT_TAGS:
             current = None
         if name == "br" and current is not None:
             current.parts.append(" ")
         if ending:
-            close({name})
+            close(name)
             continue
         if name in VOID_TAGS:
             continue
         if block:
-            close({"p"}, BLOCK_TAGS - {"p"})
+            close("p", BLOCK_TAGS - {"p"})
         if name in ("li", "dt", "dd", "option", "tr", "td", "th"):
-            close({name}, frozenset(("ul", "ol", "dl", "select", "table", "menu")))
+            close(name, frozenset(("ul", "ol", "dl", "select", "table", "menu")))
         if attributes.rstrip().endswith("/"):
             continue
         _, out, inside, link, marks, held = stack[-1] if stack else ("", False, False, False, (), 0)
-        if name in ("article", "main"):
-            inside, held = True, len(marks)
         out = out or name in OUT_TAGS or name == "header" and not inside
-        if not out and name not in ("html", "body", "article", "main"):
-            names: set[str] = set()
-            if "=" in attributes or "hidden" in attributes.lower():
-                out, names = _marked_out(attributes)
+        names: set[str] = set()
+        if not out and name not in ("html", "body") and ("=" in attributes or "hidden" in attributes.lower()):
+            out, names = _marked_out(attributes, name == "header")
+        if name in ("article", "main"):
+            names = {n for n in names if not LONG_WINDED.isdisjoint(_NAME_PARTS.split(n))}
+            if not names:  # reader comments, too, are often articles
+                inside, held = True, len(marks)
+        if not out and name not in ("html", "body"):
             if name in MARK_TAGS:
                 names.add(name)
             if names:
                 marks = (*marks, _Mark(names))
+        opened[name] += 1
         stack.append((name, out, inside, link or name == "a", marks, held))
     text(page[at:])
     return found
