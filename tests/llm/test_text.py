@@ -338,6 +338,23 @@ def test_top_k_equals_brute_force(spark):
     assert {tuple(r) for r in got} == want
 
 
+def test_top_k_of_repeated_empty_clashing_and_huge_rows(spark):
+    rows = [(k, [1.0, float(k % 3)], "x") for k in range(40)] + [(0, [1.0, 0.0], "x")] * 2 + [(50, [], "x"), (51, [1.0], "x")]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, RANK string")
+    got = topk.top_k(table, F.col("vec_id") == 0, 3).collect()
+    assert sorted(tuple(r) for r in got) == [(0, k, k, 1 << 20) for k in (1, 2, 3)]
+    assert topk.top_k(table.limit(0), F.col("vec_id") == 0).count() == 0
+    with pytest.raises(OverflowError):
+        topk.top_k(spark.createDataFrame([(1, [1e17, 1.0])], "vec_id long, embedding array<double>"), F.col("vec_id") == 1)
+
+
+def test_threshold_stops_early_where_few_components_decide():
+    rng = np.random.default_rng(4)
+    vectors = rng.integers(0, 3, (4000, 8))
+    vectors[:, 0] = rng.integers(0, 10_000, 4000)
+    assert max(topk.depths(np.arange(4000), vectors, np.arange(0, 4000, 100))) < 0.2
+
+
 def test_license_scan(docs, empty):
     rows = {r.doc_id: r for r in license_scan.scan(docs).collect()}
     r = rows[10]
