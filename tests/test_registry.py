@@ -1,12 +1,13 @@
 """Registered queries against DuckDB on the smallest tables."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 from vellumine.plans import registry
 
 DATA = "/root/testdata/sf0.001"
-NAMES = ["ov_union", "ov_within", "ervmap_counts", "ervmap_counts_genes_all", "rmsk_gap_merge", "rmsk_assemble", "rmsk_rel_length", "dict_prefix", "dict_rules", "tt_unique_counts", "tt_em_k3", "ts_em_k3", "at_multi_nofeature"]
+NAMES = sorted(registry.ORACLE_SQL)
 
 
 @pytest.mark.parametrize("name", NAMES)
@@ -18,9 +19,10 @@ def test_query_equals_sql(spark, name):
     want = con.sql(registry.ORACLE_SQL[name]).df()
     cols = sorted(got.columns)
     assert sorted(want.columns) == cols
-    rows = lambda d: sorted(map(repr, (tuple(None if v != v else v.item() if hasattr(v, "item") else v for v in r) for r in d[cols].itertuples(index=False))))
+    plain = lambda v: None if pd.isna(v) else float(v) if isinstance(v, float) or hasattr(v, "item") else v
+    rows = lambda d: sorted(map(repr, (tuple(map(plain, r)) for r in d[cols].itertuples(index=False))))
     assert rows(got) == rows(want)
 
 
-def test_every_query_but_the_random_one_has_sql():
-    assert set(registry.QUERIES) - set(registry.ORACLE_SQL) == {"ts_reassign_choose"}
+def test_queries_without_sql_are_those_tested_by_brute_force():
+    assert set(registry.QUERIES) - set(registry.ORACLE_SQL) == {"ts_reassign_choose", "qtex_tetranscripts", "qtex_telescope", "qtex_atena"}

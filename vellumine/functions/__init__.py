@@ -25,6 +25,23 @@ def reference_width(cigar: Column) -> Column:
     return cigar_sum(cigar, "MDN=X")
 
 
+def aligned_blocks(start: Column, cigar: Column) -> Column:
+    """The parts of an alignment between introns (N), as an array of (start, end), closed."""
+    sizes = F.transform(F.regexp_extract_all(cigar, F.lit(r"(\d+)[MDN=X]"), F.lit(1)), lambda x: x.cast("long"))
+    ops = F.regexp_extract_all(cigar, F.lit(r"\d+([MDN=X])"), F.lit(1))
+    steps = F.arrays_zip(sizes.alias("size"), ops.alias("op"))
+    zero = F.struct(start.cast("long").alias("at"), start.cast("long").alias("begin"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("done"))
+
+    def step(a: Column, x: Column) -> Column:
+        end = a["at"] + x["size"]
+        cut = F.when(a["at"] > a["begin"], F.concat(a["done"], F.array(F.struct(a["begin"].alias("start"), (a["at"] - 1).alias("end"))))).otherwise(a["done"])
+        gap = x["op"] == "N"
+        return F.struct(end.alias("at"), F.when(gap, end).otherwise(a["begin"]).alias("begin"), F.when(gap, cut).otherwise(a["done"]).alias("done"))
+
+    last = lambda a: F.when(a["at"] > a["begin"], F.concat(a["done"], F.array(F.struct(a["begin"].alias("start"), (a["at"] - 1).alias("end"))))).otherwise(a["done"])
+    return F.aggregate(steps, zero, step, last)
+
+
 def pair_ceiling_mean(a: Column, b: Column) -> Column:
     """Ceiling of the mates' mean; a missing mate takes the other's value."""
     return F.ceil((F.coalesce(a, b) + F.coalesce(b, a)) / 2)

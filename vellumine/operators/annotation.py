@@ -42,6 +42,20 @@ def consensus_lengths(rmsk: DataFrame, length: Column | str = "cons") -> DataFra
     return counts.groupBy("rep_name").agg(F.min_by("cons_len", F.struct(-F.col("count"), F.col("cons_len"))).alias("cons_len"))
 
 
+def consensus_end() -> Column:
+    """A fragment's consensus length (A16): its end there and what remains, as positions are given by
+    strand (rep_left on '+', rep_start on '-'), signs aside; no strand: its end."""
+    remain = F.when(F.col("strand") == "+", F.abs("rep_left")).when(F.col("strand") == "-", F.abs("rep_start")).otherwise(0)
+    return F.col("rep_end") + remain
+
+
+def consensus_start() -> Column:
+    """A fragment's start in the consensus (W7): rep_start on '+', else rep_left; past its end, the
+    place after the end."""
+    start = F.when(F.col("strand") == "+", F.abs("rep_start")).otherwise(F.abs("rep_left"))
+    return F.when(start > F.col("rep_end"), F.col("rep_end") + 1).otherwise(start)
+
+
 def is_internal(name: Column) -> Column:
     return name.rlike("(?i)-int|-in|-i|_int|_in|_i")
 
@@ -50,19 +64,33 @@ def is_ltr(name: Column) -> Column:
     return name.rlike("(?i)LTR") & ~is_internal(name)
 
 
+def _first_seen(names: DataFrame) -> DataFrame:
+    """Distinct names with the order of their first appearance, by ``ix`` (names' own order without it)."""
+    ix = F.min("ix") if "ix" in names.columns else F.min("rep_name")
+    return names.groupBy("rep_name").agg(ix.alias("_ix"))
+
+
 def prefix_dictionary(names: DataFrame, least: int = 5, share: float = 0.5) -> DataFrame:
     """LTR to internal region by the longest common prefix (J14): its length plus one must exceed
-    ``least`` and be at least ``share`` of the LTR's name; the first best region in name order
-    stays. ``names``: rep_name of LTR-class rows. Candidates are joined on the first ``least``
+    ``least`` and be at least ``share`` of the LTR's name; of equally good regions the one that appears
+    first stays. ``names``: rep_name of LTR-class rows and ``ix``, the order of rows. Gives ltr_name,
+    int_name and ltr_ix, the LTR's first place. Candidates are joined on the first ``least``
     characters, which any match of that length shares, so nothing is crossed."""
-    uniq = names.select("rep_name").distinct().withColumn("_k", F.substring("rep_name", 1, least))
-    ltrs = uniq.filter(is_ltr(F.col("rep_name"))).select(F.col("rep_name").alias("ltr_name"), "_k")
-    ints = uniq.filter(is_internal(F.col("rep_name"))).select(F.col("rep_name").alias("int_name"), "_k")
+    uniq = _first_seen(names).withColumn("_k", F.substring("rep_name", 1, least))
+    ltrs = uniq.filter(is_ltr(F.col("rep_name"))).select(F.col("rep_name").alias("ltr_name"), F.col("_ix").alias("ltr_ix"), "_k")
+    ints = uniq.filter(is_internal(F.col("rep_name"))).select(F.col("rep_name").alias("int_name"), F.col("_ix").alias("_int_ix"), "_k")
     shorter = F.least(F.length("ltr_name"), F.length("int_name"))
     common = F.size(F.filter(F.sequence(F.lit(1), shorter), lambda k: F.substr(F.col("ltr_name"), F.lit(1), k) == F.substr(F.col("int_name"), F.lit(1), k)))
     pairs = ltrs.join(ints, "_k").filter(F.length("_k") == least).withColumn("score", (common + 1) / F.length("ltr_name"))
     pairs = pairs.filter((common + 1 >= least + 1) & (F.col("score") >= share))
-    return pairs.groupBy("ltr_name").agg(F.min_by("int_name", F.struct(-F.col("score"), F.col("int_name"))).alias("int_name"))
+    return pairs.groupBy("ltr_name", "ltr_ix").agg(F.min_by("int_name", F.struct(-F.col("score"), F.col("_int_ix"))).alias("int_name")).select("ltr_name", "int_name", "ltr_ix")
+
+
+def inverse_dictionary(dictionary: DataFrame) -> DataFrame:
+    """Internal region to its LTRs, joined by ':' in order."""
+    order = "ltr_ix" if "ltr_ix" in dictionary.columns else "ltr_name"
+    found = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), "ltr_name"))), lambda x: x["ltr_name"])
+    return dictionary.groupBy("int_name").agg(F.array_join(found, ":").alias("ltr_names"))
 
 
 def rule_dictionary(names: DataFrame, fuzzy: bool = False) -> DataFrame:
@@ -70,7 +98,8 @@ def rule_dictionary(names: DataFrame, fuzzy: bool = False) -> DataFrame:
 
     Rules in order, a later one overwriting: the LTR mark replaced by an internal mark; an
     internal mark appended; both. What is left is matched on simplified names, and if ``fuzzy``
-    on names without a last letter, a last digit or two last characters, in that order."""
+    on names without a last letter, a last digit or two last characters, in that order: each pass
+    gives an LTR that has none yet the first region in name order."""
     uniq = names.select("rep_name").distinct()
     internal, ltr = is_internal(F.col("rep_name")), is_ltr(F.col("rep_name"))
     undecided = ~internal & ~ltr
@@ -96,7 +125,7 @@ def rule_dictionary(names: DataFrame, fuzzy: bool = False) -> DataFrame:
         r = right.join(out.select(F.col("ltr_name").alias("int_name")), "int_name", "left_anti").withColumn("si", F.regexp_replace("pi", pattern, ""))
         one = l.join(r, (F.col("pl") == F.col("si")) & (F.col("ltr_name") != F.col("int_name"))).select("ltr_name", "int_name")
         two = l.join(r, (F.col("sl") == F.col("pi")) & (F.col("ltr_name") != F.col("int_name"))).select("ltr_name", "int_name")
-        out = out.unionByName(one.unionByName(two).distinct())
+        out = out.unionByName(one.unionByName(two).groupBy("ltr_name").agg(F.min("int_name").alias("int_name")))
     return out
 
 
@@ -127,6 +156,7 @@ def merge_fragments(frags: DataFrame, insert: int, lag: bool = False) -> DataFra
     return m.groupBy(*keys, "island", "role", "pair").agg(
         F.min("g_start").alias("g_start"), F.max("g_end").alias("g_end"), F.sum(F.col("g_end") - F.col("g_start") + 1).alias("width"),
         F.avg("milli_div").alias("milli_div"), F.sum("milli_div").alias("div_sum"), F.count(F.lit(1)).alias("n_frags"), F.min("frag_id").alias("elem_id"),
+        *[F.min("rep_class").alias("rep_class")] * ("rep_class" in m.columns),
     )
 
 
@@ -171,13 +201,14 @@ def strict(elements: DataFrame) -> DataFrame:
 
 def relative_length(assembled: DataFrame, cons: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Element table with ``rel_length`` (A17): width over consensus length; for elements with an
-    internal region, of the region and twice its first LTR; at most 1."""
-    first_ltr = dictionary.groupBy("int_name").agg(F.min("ltr_name").alias("_ltr"))
+    internal region, of the region and twice its first LTR (null if that is unknown); at most 1.
+    Where elements have ``rep_class``, so do these, as ``Class`` (N8)."""
+    first_ltr = dictionary.groupBy("int_name").agg(F.min_by("ltr_name", F.col("ltr_ix" if "ltr_ix" in dictionary.columns else "ltr_name")).alias("_ltr"))
     lead = F.min_by("rep_name", F.struct(F.when(F.col("role") == "int", 0).otherwise(1), F.col("elem_id")))
-    e = assembled.groupBy("assembly", "status", "seqname", "strand").agg(lead.alias("rep_name"), F.max((F.col("role") == "int").cast("int")).alias("_int"), F.min("g_start").alias("g_start"), F.max("g_end").alias("g_end"), F.sum("width").alias("width"), (F.sum("div_sum") / F.sum("n_frags")).alias("milli_div"))
+    e = assembled.groupBy("assembly", "status", "seqname", "strand").agg(lead.alias("rep_name"), F.max((F.col("role") == "int").cast("int")).alias("_int"), F.min("g_start").alias("g_start"), F.max("g_end").alias("g_end"), F.sum("width").alias("width"), (F.sum("div_sum") / F.sum("n_frags")).alias("milli_div"), *[F.min("rep_class").alias("Class")] * ("rep_class" in assembled.columns))
     e = e.join(cons, "rep_name", "left").join(first_ltr, F.col("rep_name") == F.col("int_name"), "left")
     e = e.join(cons.select(F.col("rep_name").alias("_ltr"), F.col("cons_len").alias("_ltr_len")), "_ltr", "left")
-    whole = F.when(F.col("_int") == 1, F.col("cons_len") + 2 * F.coalesce("_ltr_len", F.lit(0))).otherwise(F.col("cons_len"))
+    whole = F.when(F.col("_int") == 1, F.col("cons_len") + 2 * F.col("_ltr_len")).otherwise(F.col("cons_len"))
     return e.withColumn("rel_length", F.least(F.col("width") / whole, F.lit(1.0))).drop("_int", "_ltr", "_ltr_len", "int_name", "cons_len")
 
 
@@ -185,8 +216,12 @@ def assembly_parser(rmsk: DataFrame, is_strict: bool = False, insert: int = 1000
     """Fragment tables to elements (N2, N5, N6): dictionary, merge, pattern, strict, relative length.
     ``insert`` under 0 or ``lag`` takes the consensus-guided merge."""
     te = only_tes(rmsk) if "rep_class" in rmsk.columns else rmsk
-    dictionary = dictionary if dictionary is not None else prefix_dictionary(te)
+    dictionary = dictionary if dictionary is not None else prefix_dictionary(te.withColumn("ix", F.col("frag_id")))
+    if "rep_end" in te.columns:
+        te = te.withColumn("cons", consensus_end()).withColumn("c_start", consensus_start()).withColumn("c_end", F.col("rep_end"))
     cons = cons if cons is not None else consensus_lengths(te)
+    if lag or insert < 0:
+        te = te.join(cons, "rep_name", "left")
     elements = merge_fragments(counterpart_rank(te, dictionary), insert, lag or insert < 0)
     out = relative_length(assemble(elements, cons), cons, dictionary)
     return strict(out) if is_strict else out

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellumine.operators.weights import READ, by_read
+from vellumine.shared import discard, written
 
 #: Classes that may come to the driver; beyond it the rows stay in Spark.
 MOST_CLASSES = 2_000_000
@@ -35,8 +36,9 @@ def _corrected(df: DataFrame, raw: str, eff: str) -> DataFrame:
 
 
 def ratio_start(q: DataFrame, lengths: DataFrame) -> DataFrame:
-    """(sample_id, feature_id, eff, pi): column sums, length-corrected (E4). ``lengths``: feature_id, eff."""
-    sums = q.groupBy("sample_id", "feature_id").agg(F.sum("w").alias("c")).join(lengths, "feature_id")
+    """(sample_id, feature_id, eff, pi): column sums, length-corrected (E4). ``lengths``: feature_id, eff,
+    and sample_id where reads differ in length by sample."""
+    sums = q.groupBy("sample_id", "feature_id").agg(F.sum("w").alias("c")).join(lengths, [c for c in ("sample_id", "feature_id") if c in lengths.columns])
     return _corrected(sums, "c", "eff").select("sample_id", "feature_id", "eff", "pi")
 
 
@@ -55,6 +57,15 @@ def ratio_assign(q: DataFrame, pi: DataFrame) -> DataFrame:
     return x.withColumn("x", F.when(total > 0, F.col("pi") / total).otherwise(0.0)).groupBy("sample_id", "feature_id").agg(F.sum("x").alias("m"))
 
 
+def ratio_log_likelihood(q: DataFrame, pi: DataFrame) -> DataFrame:
+    """(sample_id, log_likelihood): the sum over reads and their features of the read's share times the
+    logarithm of the feature's probability (E5)."""
+    x = q.select(*READ, "feature_id").join(pi, ["sample_id", "feature_id"])
+    total = F.sum("pi").over(by_read())
+    x = x.withColumn("x", F.when(total > 0, F.col("pi") / total).otherwise(0.0))
+    return x.filter("pi > 0").groupBy("sample_id").agg(F.sum(F.col("x") * F.log("pi")).alias("log_likelihood"))
+
+
 def multi_flag(q: DataFrame) -> DataFrame:
     """Adds ``is_multi``: the read has more than one positive cell."""
     return q.withColumn("is_multi", F.count_if(F.col("w") > 0).over(by_read()) > 1)
@@ -227,7 +238,7 @@ def _fit(q: DataFrame, state: DataFrame, on_classes, on_rows, finish, tolerance:
     ``on_rows`` make the step of ``pi`` for a sample's classes or rows and columns of the state."""
     spark = q.sparkSession
     table = state.orderBy("sample_id", "feature_id").toArrow()
-    q = q.join(state.select("sample_id", "feature_id"), ["sample_id", "feature_id"], "left_semi").persist()
+    q = written(q.join(state.select("sample_id", "feature_id"), ["sample_id", "feature_id"], "left_semi"), "cells")
     try:
         found = classes(q)
     except TooManyClasses:
@@ -249,7 +260,7 @@ def _fit(q: DataFrame, state: DataFrame, on_classes, on_rows, finish, tolerance:
         report[sample] = used, reached
         for f, values in v.items():
             done[f].extend(values)
-    q.unpersist()
+    discard(q)
     return spark.createDataFrame(pa.table({f: pa.array(done[f], table.schema.field(f).type) for f in table.column_names}), state.schema), report
 
 

@@ -101,8 +101,16 @@ def rescale_softmax(alns: DataFrame) -> DataFrame:
     return j.join(F.broadcast(total), "sample_id").withColumn("s", F.exp(F.col("as_score") - F.col("_m") - F.log("_t"))).drop("_m", "_t")
 
 
+def key_no_feature(q: DataFrame) -> DataFrame:
+    """No-feature cells keyed by the set of the read's other columns (E14): ``feature_id`` becomes text,
+    "no_feature:" and the others' ids in order for those cells, so that each pattern is a column."""
+    others = F.array_sort(F.collect_set(F.when((F.col("feature_id") != NO_FEATURE) & (F.col("w") > 0), F.col("feature_id"))).over(by_read()))
+    pattern = F.array_join(F.transform(others, lambda x: x.cast("string")), "_")
+    key = F.when(F.col("feature_id") == NO_FEATURE, F.concat(F.lit("no_feature:"), pattern)).otherwise(F.col("feature_id").cast("string"))
+    return q.withColumn("feature_id", key)
+
+
 def patterns(q: DataFrame) -> DataFrame:
-    """No-feature mass by the set of a read's other features (E14): (sample_id, pattern, first_read,
-    mass). Patterns are numbered by the smallest read that has them."""
-    per = q.groupBy(*READ).agg(F.array_join(F.transform(F.array_sort(F.collect_set(F.when(F.col("feature_id") != NO_FEATURE, F.col("feature_id")))), lambda x: x.cast("string")), "_").alias("pattern"), F.sum(F.when(F.col("feature_id") == NO_FEATURE, F.col("w"))).alias("mass"))
-    return per.filter("mass is not null").groupBy("sample_id", "pattern").agg(F.min("read_id").alias("first_read"), F.sum("mass").alias("mass"))
+    """Mass and first read of each no-feature column of ``key_no_feature``."""
+    none = q.filter(F.col("feature_id").startswith("no_feature:"))
+    return none.groupBy("sample_id", "feature_id").agg(F.min("read_id").alias("first_read"), F.sum("w").alias("mass"))

@@ -10,12 +10,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from vellumine import methods as M
+from vellumine import params as P
+from vellumine import tags
 from vellumine.operators import annotation as A
 from vellumine.operators import em as E
 from vellumine.operators import features as FE
+from vellumine.operators import fragments as FR
 from vellumine.operators import intervals as I
 from vellumine.operators import weights as W
 from vellumine.plans import ervmap as V
+from vellumine.shared import written
 from vellumine.sources.domain import READ_LENGTH, alignments, features, rmsk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,10 +77,12 @@ _CTE = {
     "ata": "SELECT a.*, exp(as_score - m - ln(t)) AS s FROM aln a JOIN top USING (sample_id) JOIN tot USING (sample_id)",
     "atcell": "SELECT h.sample_id, h.read_id, h.feature_id, h.is_te, sum(s) AS w FROM ath h JOIN ata USING (aln_id) GROUP BY ALL",
 }
+_KEYED = "SELECT sample_id, read_id, CASE WHEN feature_id = -1 THEN 'no_feature:' || coalesce(pattern, '') ELSE CAST(feature_id AS VARCHAR) END AS feature_id, w FROM atarb LEFT JOIN (SELECT sample_id, read_id, string_agg(CAST(feature_id AS VARCHAR), '_' ORDER BY feature_id) AS pattern FROM atarb WHERE feature_id <> -1 GROUP BY ALL) USING (sample_id, read_id)"
 for _p in ("ts", "at"):
     _CTE[f"{_p}arb"] = f"""SELECT * FROM (SELECT c.*, u.is_unique, bool_or(coalesce(is_te, false)) OVER r AS t, bool_or(coalesce(NOT is_te, false)) OVER r AS g FROM {_p}cell c JOIN uniq u USING (sample_id, read_id)
         WINDOW r AS (PARTITION BY c.sample_id, c.read_id)) WHERE NOT coalesce(t AND g AND is_te = is_unique, false)"""
-    _CTE[f"{_p}q"] = f"SELECT sample_id, read_id, feature_id, w / sum(w) OVER r AS w, count(*) FILTER (w > 0) OVER r > 1 AS is_multi FROM {_p}arb WINDOW r AS (PARTITION BY sample_id, read_id)"
+    _CTE[f"{_p}key"] = "SELECT * FROM tsarb" if _p == "ts" else _KEYED
+    _CTE[f"{_p}q"] = f"SELECT sample_id, read_id, feature_id, w / sum(w) OVER r AS w, count(*) FILTER (w > 0) OVER r > 1 AS is_multi FROM {_p}key WINDOW r AS (PARTITION BY sample_id, read_id)"
 # rmsk chain
 _CTE |= {
     "dict": "SELECT * FROM (VALUES ('ROO_LTR', 'ROO_I'), ('BEL_LTR', 'BEL_I')) t(ltr_name, int_name)",
@@ -98,7 +105,7 @@ _CTE |= {
         CASE WHEN role = 'LTR' AND pd THEN po WHEN role = 'LTR' AND nu THEN no ELSE coalesce(own, role) END AS status FROM asm1
         UNION ALL SELECT elem_id, rep_name, role, seqname, strand, g_start, g_end, width, div_sum, n_frags, elem_id, 'noLTR' FROM elem WHERE role = 'noLTR'""",
     "rel0": "SELECT assembly, status, seqname, strand, arg_min(rep_name, CASE WHEN role = 'int' THEN 0 ELSE 1 END * 1000000000000 + elem_id) AS rep_name, max(CASE WHEN role = 'int' THEN 1 ELSE 0 END) AS has_int, min(g_start) AS g_start, max(g_end) AS g_end, sum(width) AS width, sum(div_sum) / sum(n_frags) AS milli_div FROM asm GROUP BY ALL",
-    "rel": """SELECT r.*, least(r.width / CAST(CASE WHEN has_int = 1 THEN c.cons_len + 2 * coalesce(lc.cons_len, 0) ELSE c.cons_len END AS DOUBLE), 1.0) AS rel_length FROM rel0 r LEFT JOIN cons c USING (rep_name)
+    "rel": """SELECT r.*, least(r.width / CAST(CASE WHEN has_int = 1 THEN c.cons_len + 2 * lc.cons_len ELSE c.cons_len END AS DOUBLE), 1.0) AS rel_length FROM rel0 r LEFT JOIN cons c USING (rep_name)
         LEFT JOIN dict d ON r.rep_name = d.int_name LEFT JOIN cons lc ON lc.rep_name = d.ltr_name""",
     "annot": "SELECT f.*, CASE WHEN feature_id % 3 = 0 THEN 'full-lengthLTR' WHEN feature_id % 3 = 1 THEN 'partialLTR_up' ELSE 'LTR' END AS status, CAST(f_end - f_start + 1 AS DOUBLE) / 50 AS rel_length FROM feat f",
     "pass": f"SELECT * FROM hits WHERE is_secondary = 0 AND clip / qwidth < {_RATE} AND nm / qwidth < {_RATE}",
@@ -399,17 +406,23 @@ def _(spark, sf):
 def _names(spark, sf):
     """LTR-class names made from brands: families with an LTR and an internal region."""
     p = spark.read.parquet(f"{sf}/part.parquet").select(F.translate("p_brand", "#", "").alias("b"), "p_partkey")
-    return p.select(F.when(F.col("p_partkey") % 3 == 0, F.concat("b", F.lit("-int"))).when(F.col("p_partkey") % 3 == 1, F.concat("b", F.lit("_LTR"))).otherwise(F.col("b")).alias("rep_name"))
+    return p.select(F.when(F.col("p_partkey") % 3 == 0, F.concat("b", F.lit("-int"))).when(F.col("p_partkey") % 3 == 1, F.concat("b", F.lit("_LTR"))).otherwise(F.col("b")).alias("rep_name"), F.col("p_partkey").alias("ix"))
 
 
-_NAMES_SQL = "n AS (SELECT DISTINCT CASE p_partkey % 3 WHEN 0 THEN b || '-int' WHEN 1 THEN b || '_LTR' ELSE b END AS rep_name FROM (SELECT replace(p_brand, '#', '') AS b, p_partkey FROM part))"
+_NAMES_SQL = "n AS (SELECT rep_name, min(p_partkey) AS ix FROM (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN b || '-int' WHEN 1 THEN b || '_LTR' ELSE b END AS rep_name FROM (SELECT replace(p_brand, '#', '') AS b, p_partkey FROM part)) GROUP BY rep_name)"
+_PREFIX_SQL = f"""{_NAMES_SQL}, p AS (SELECT l.rep_name AS ltr_name, l.ix AS ltr_ix, i.rep_name AS int_name, i.ix AS int_ix, (SELECT count(*) FROM range(1, 100) t(k) WHERE k <= least(len(l.rep_name), len(i.rep_name)) AND left(l.rep_name, k) = left(i.rep_name, k)) + 1 AS lcp
+    FROM n l JOIN n i ON l.rep_name LIKE '%_LTR' AND i.rep_name LIKE '%-int'), s AS (SELECT *, lcp / CAST(len(ltr_name) AS DOUBLE) AS score FROM p WHERE lcp >= 6),
+    d AS (SELECT ltr_name, int_name, ltr_ix FROM (SELECT *, row_number() OVER (PARTITION BY ltr_name ORDER BY score DESC, int_ix) AS k FROM s WHERE score >= 0.5) WHERE k = 1)"""
 
 
-@query("dict_prefix", "", f"""WITH {_NAMES_SQL}, p AS (SELECT l.rep_name AS ltr_name, i.rep_name AS int_name, (SELECT count(*) FROM range(1, 100) t(k) WHERE k <= least(len(l.rep_name), len(i.rep_name)) AND left(l.rep_name, k) = left(i.rep_name, k)) + 1 AS lcp
-    FROM n l JOIN n i ON l.rep_name LIKE '%_LTR' AND i.rep_name LIKE '%-int'), s AS (SELECT *, lcp / CAST(len(ltr_name) AS DOUBLE) AS score FROM p WHERE lcp >= 6)
-    SELECT ltr_name, int_name FROM (SELECT *, row_number() OVER (PARTITION BY ltr_name ORDER BY score DESC, int_name) AS k FROM s WHERE score >= 0.5) WHERE k = 1""")
+@query("dict_prefix", "", f"WITH {_PREFIX_SQL} SELECT ltr_name, int_name FROM d")
 def _(spark, sf):
-    return A.prefix_dictionary(_names(spark, sf))
+    return A.prefix_dictionary(_names(spark, sf)).select("ltr_name", "int_name")
+
+
+@query("dict_inverse", "", f"WITH {_PREFIX_SQL} SELECT int_name, string_agg(ltr_name, ':' ORDER BY ltr_ix) AS ltr_names FROM d GROUP BY int_name")
+def _(spark, sf):
+    return A.inverse_dictionary(A.prefix_dictionary(_names(spark, sf)))
 
 
 @query("dict_rules", "", f"WITH {_NAMES_SQL} SELECT l.rep_name AS ltr_name, i.rep_name AS int_name FROM n l JOIN n i ON (l.rep_name LIKE '%!_LTR' ESCAPE '!' AND replace(l.rep_name, '_LTR', '-int') = i.rep_name) OR (l.rep_name NOT LIKE '%LTR' AND l.rep_name NOT LIKE '%-int' AND l.rep_name || '-int' = i.rep_name) OR (l.rep_name LIKE '%!_LTR' ESCAPE '!' AND replace(l.rep_name, '_LTR', '') = i.rep_name AND replace(l.rep_name, '_LTR', '-int') NOT IN (SELECT rep_name FROM n))")
@@ -439,8 +452,8 @@ for _n, _c, _f in (("get_lines", "LINE", A.get_lines), ("get_sines", "SINE", A.g
 
 # ---- unique counts and ratio EM -------------------------------------------------------------
 def _tt(spark, sf):
-    a, f = alignments(spark, sf), features(spark, sf)
-    hits = I.interval_join(a, f.drop("is_te"))
+    a, f = written(alignments(spark, sf)), features(spark, sf)
+    hits = written(I.interval_join(a, f.select("feature_id", "seqname", "f_start", "f_end", "strand")).select("aln_id", "sample_id", "read_id", "feature_id"))
     q = W.arbitrate(W.cells(hits, F.lit(1.0), "any"), f, W.unique_reads(a))
     return f, hits, q
 
@@ -506,8 +519,8 @@ ORACLE_SQL["tt_effective_length"] = _with("", "mte eff").rstrip() + ",\n" + _RAT
 
 def _ratio3(spark, sf):
     w, eff = _mte(spark, sf)
-    w = w.persist()
-    return w, E.iterate(lambda s: E.ratio_step(w, s), E.ratio_start(w, eff), 3, lambda d: d.persist())
+    w = written(w)
+    return w, E.iterate(lambda s: E.ratio_step(w, s), E.ratio_start(w, eff), 3, written)
 
 
 @query("tt_em_k3")
@@ -529,7 +542,7 @@ ORACLE_SQL["tt_multi_counts_k3"] = _RATIO3 + " SELECT sample_id, feature_id, rou
 
 # ---- best overlap, no-feature and two-parameter EM --------------------------------------------
 def _ts_hits(spark, sf):
-    a, f = alignments(spark, sf), features(spark, sf)
+    a, f = written(alignments(spark, sf)), features(spark, sf)
     best = W.best_overlap(I.interval_join(a, f.drop("is_te")), I.overlap_length(), 0.2)
     return a, f, best, W.no_feature_hits(a, best, W.unique_reads(a))
 
@@ -574,8 +587,8 @@ _TSX = _TS3 + _pair_sql("tsq", 4).rsplit(",\n a4", 1)[0]
 
 def _ts3(spark, sf):
     f, q = _ts_q(spark, sf)
-    q = q.persist()
-    return q, E.iterate(lambda s: E.pair_step(q, s), E.pair_start(q), 3, lambda d: d.persist())
+    q = written(q)
+    return q, E.iterate(lambda s: E.pair_step(q, s), E.pair_start(q), 3, written)
 
 
 @query("ts_em_k3")
@@ -603,13 +616,13 @@ for _mode, _sql in (
 
 
 # ---- soft-max scores, pattern-keyed no-feature, vector priors -----------------------------------
+def _param(cls, spark, sf, genes=True, **more):
+    f = features(spark, sf)
+    return cls(alignments(spark, sf), _te(f).drop("is_te"), gene_features=f.filter("not is_te").drop("is_te") if genes else None, ignore_strand=True, **more)
+
+
 def _at_q(spark, sf):
-    a, f = alignments(spark, sf), features(spark, sf)
-    hits = I.overlap_union(a, f.drop("is_te"), True)
-    none = W.no_feature_hits(a, hits, W.unique_reads(a))
-    s = W.rescale_softmax(a).select("aln_id", "s")
-    both = hits.select(*W.READ, "aln_id", "feature_id").unionByName(none.select(*W.READ, "aln_id", "feature_id")).join(s, "aln_id")
-    return E.multi_flag(W.row_normalise(W.arbitrate(W.cells(both, F.col("s"), "sum"), f, W.unique_reads(a))))
+    return M.atena_cells(_param(P.AtenaParam, spark, sf), written(alignments(spark, sf)))
 
 
 @query("at_softmax", "ata", "SELECT aln_id, round(ln(s), 6) AS log_s FROM ata")
@@ -622,20 +635,198 @@ def _(spark, sf):
     return _at_q(spark, sf).select("sample_id", "read_id", "feature_id", F.round("w", 9).alias("w"))
 
 
-@query("at_multi_nofeature", "atq", "SELECT sample_id, pattern, min(read_id) AS first_read, round(sum(mass), 6) AS mass FROM (SELECT sample_id, read_id, coalesce(string_agg(CAST(feature_id AS VARCHAR), '_' ORDER BY feature_id) FILTER (feature_id <> -1), '') AS pattern, sum(w) FILTER (feature_id = -1) AS mass FROM atq GROUP BY ALL) WHERE mass IS NOT NULL GROUP BY ALL")
+@query("at_multi_nofeature", "atq", "SELECT sample_id, feature_id, min(read_id) AS first_read, round(sum(w), 6) AS mass FROM atq WHERE feature_id LIKE 'no_feature:%' GROUP BY ALL")
 def _(spark, sf):
     return W.patterns(_at_q(spark, sf)).withColumn("mass", F.round("mass", 6))
 
 
-def _priors(state):
-    return state.withColumn("a", (F.abs("feature_id") % 3) * 0.1).withColumn("b", (F.abs("feature_id") % 2) * 0.1)
-
-
 @query("at_em_k3_priors")
 def _(spark, sf):
-    q = _at_q(spark, sf).persist()
-    s = E.iterate(lambda s: E.pair_step(q, s), _priors(E.pair_start(q, uniform=False)), 3, lambda d: d.persist())
+    q = written(_at_q(spark, sf))
+    prior = lambda k: features(spark, sf).select("feature_id", (F.col("feature_id") % k * 0.1).alias("prior"))
+    state = P.with_prior(P.with_prior(E.pair_start(q, uniform=False), prior(3), "a"), prior(2), "b")
+    s = E.iterate(lambda s: E.pair_step(q, s), state, 3, written)
     return s.select("sample_id", "feature_id", F.round("pi", 9).alias("pi"), F.round("theta", 9).alias("theta"))
 
 
-ORACLE_SQL["at_em_k3_priors"] = _with("", "atq").rstrip() + ",\n s0 AS (SELECT sample_id, feature_id, sum(w) AS pi, sum(CASE WHEN is_multi THEN w ELSE 0 END) AS theta, (abs(feature_id) % 3) * 0.1::DOUBLE AS a, (abs(feature_id) % 2) * 0.1::DOUBLE AS b FROM atq GROUP BY ALL)" + "".join(_pair_sql("atq", k) for k in (1, 2, 3)) + " SELECT sample_id, feature_id, round(pi, 9) AS pi, round(theta, 9) AS theta FROM s3"
+ORACLE_SQL["at_em_k3_priors"] = _with("", "atq").rstrip() + ",\n s0 AS (SELECT sample_id, feature_id, sum(w) AS pi, sum(CASE WHEN is_multi THEN w ELSE 0 END) AS theta, coalesce(try_cast(feature_id AS BIGINT) % 3, 0) * 0.1::DOUBLE AS a, coalesce(try_cast(feature_id AS BIGINT) % 2, 0) * 0.1::DOUBLE AS b FROM atq GROUP BY ALL)" + "".join(_pair_sql("atq", k) for k in (1, 2, 3)) + " SELECT sample_id, feature_id, round(pi, 9) AS pi, round(theta, 9) AS theta FROM s3"
+
+
+# ---- whole methods --------------------------------------------------------------------------------
+_WIDE = "SELECT k.key, coalesce(sum(n) FILTER (sample_id = 'F'), 0)::BIGINT AS F, coalesce(sum(n) FILTER (sample_id = 'O'), 0)::BIGINT AS O FROM ({keys}) k LEFT JOIN ({counts}) c USING (key) GROUP BY k.key"
+_TE_KEYS = "SELECT DISTINCT rep_name AS key FROM feat WHERE is_te"
+_ALL_KEYS = "SELECT CAST(feature_id AS VARCHAR) AS key FROM feat"
+_GOOD = f"(clip / qwidth < {_RATE} AND nm / qwidth < {_RATE})"
+
+
+@query("qtex_ervmap_tag", "hits", _WIDE.format(keys=_TE_KEYS, counts=f"SELECT sample_id, rep_name AS key, count(*) AS n FROM hits JOIN (SELECT feature_id, rep_name FROM feat) USING (feature_id) WHERE is_te AND is_secondary = 0 AND {_GOOD} AND as_score - xs >= {_CUTOFF} GROUP BY ALL"))
+def _(spark, sf):
+    return M.qtex(_param(P.ErvmapParam, spark, sf, False, aggregate_by=("rep_name",), max_mismatch_rate=_RATE, aligner="bwa")).assay()
+
+
+_BEST3 = f"SELECT sample_id, read_id FROM aln GROUP BY ALL HAVING max(as_score) FILTER (is_secondary = 0) - coalesce(max(as_score) FILTER (is_secondary = 1), -99) >= {_CUTOFF}"
+
+
+@query("qtex_ervmap_secondary", "hits", _WIDE.format(keys=_ALL_KEYS + " WHERE is_te", counts=f"""SELECT sample_id, CAST(feature_id AS VARCHAR) AS key, count(*) AS n FROM (SELECT sample_id, read_id, feature_id, max_by(1 - is_secondary, aln_id) AS w FROM hits
+    JOIN ({_BEST3}) USING (sample_id, read_id) WHERE is_te AND (is_secondary = 1 OR {_GOOD}) GROUP BY ALL) WHERE w > 0 GROUP BY ALL"""))
+def _(spark, sf):
+    return M.qtex(_param(P.ErvmapParam, spark, sf, False, max_mismatch_rate=_RATE, suboptimal_tag="none")).assay()
+
+
+@query("qtex_ervmap_genes")
+def _(spark, sf):
+    return M.qtex(_param(P.ErvmapParam, spark, sf, max_mismatch_rate=_RATE, suboptimal_cutoff=None)).assay()
+
+
+ORACLE_SQL["qtex_ervmap_genes"] = _with("", "hits uniq").rstrip() + ",\n" + _ERV + ", c AS (SELECT sample_id, CAST(feature_id AS VARCHAR) AS key, n FROM m UNION ALL SELECT sample_id, CAST(feature_id AS VARCHAR), count(*) FROM hits WHERE NOT is_te AND is_secondary = 0 AND NOT " + _GOOD + " GROUP BY ALL) " + _WIDE.format(keys=_ALL_KEYS, counts="SELECT * FROM c")
+
+
+@query("qtex_tetranscripts")
+def _(spark, sf):
+    return M.qtex(_param(P.TetranscriptsParam, spark, sf, aggregate_by=("rep_name",))).assay()
+
+
+@query("qtex_telescope")
+def _(spark, sf):
+    return M.qtex(_param(P.TelescopeParam, spark, sf), auxiliary=True).assay()
+
+
+@query("qtex_atena")
+def _(spark, sf):
+    return M.qtex(_param(P.AtenaParam, spark, sf, pi_prior=0.1), auxiliary=False).assay()
+
+
+@query("tag_probe", "aln", "SELECT bool_or(nm IS NOT NULL) AS has_NM, bool_or(as_score IS NOT NULL) AS has_AS, bool_and(xs IS NOT NULL) AS has_XS FROM (SELECT aln_id, nm, as_score, CASE WHEN xs < 35 THEN xs END AS xs FROM aln WHERE is_secondary = 0 ORDER BY aln_id LIMIT 1000)")
+def _(spark, sf):
+    return tags.probe(alignments(spark, sf).withColumn("xs", F.when(F.col("xs") < 35, F.col("xs"))))
+
+
+# ---- spliced alignments, compound features, paired views --------------------------------------------
+_CTE["splice"] = "SELECT aln_id, seqname, strand, a_start, a_start + 7 AS e1, a_start + 8 + 40 * (nm % 3) AS s2, a_end + 40 * (nm % 3) AS a_end, nm % 3 > 0 AS two FROM aln"
+_CTE["block"] = "SELECT aln_id, seqname, CASE WHEN two THEN 2 ELSE 1 END AS n, 1 AS ix, a_start AS b, CASE WHEN two THEN e1 ELSE a_end END AS e FROM splice UNION ALL SELECT aln_id, seqname, 2, 2, s2, a_end FROM splice WHERE two"
+_CTE["comp"] = "SELECT feature_id // 10 * 5 + feature_id % 5 AS comp_id, seqname, f_start, f_end FROM feat"
+
+
+def _spliced(spark, sf):
+    from vellumine.functions import aligned_blocks
+
+    a = alignments(spark, sf)
+    gap = 40 * (F.col("nm") % 3)
+    cigar = F.when(gap > 0, F.concat(F.lit("8M"), gap.cast("string"), F.lit("N12M"))).otherwise(F.lit("20M"))
+    a = a.withColumn("blocks", aligned_blocks(F.col("a_start"), cigar)).withColumn("a_end", F.col("a_end") + gap)
+    ranges = features(spark, sf).select(F.expr("feature_id div 10 * 5 + feature_id % 5").alias("feature_id"), "seqname", "strand", "f_start", "f_end")
+    return a, ranges
+
+
+@query("ov_spliced_union", "block comp", "SELECT DISTINCT aln_id, comp_id FROM block b JOIN comp c ON b.seqname = c.seqname AND b <= f_end AND f_start <= e")
+def _(spark, sf):
+    return I.overlap_union(*_spliced(spark, sf), True, False).select("aln_id", F.col("feature_id").alias("comp_id"))
+
+
+@query("ov_spliced_within", "block comp", "SELECT aln_id, comp_id FROM (SELECT aln_id, comp_id, n, count(DISTINCT ix) AS k FROM block b JOIN comp c ON b.seqname = c.seqname AND f_start <= b AND e <= f_end GROUP BY ALL) WHERE k = n")
+def _(spark, sf):
+    return I.overlap_intersection_strict(*_spliced(spark, sf), True, False).select("aln_id", F.col("feature_id").alias("comp_id"))
+
+
+@query("ov_compound_length", "splice comp", "SELECT aln_id, comp_id, CAST(max(least(a_end, f_end) - greatest(a_start, f_start) + 1) AS BIGINT) AS ov_len FROM splice s JOIN comp c ON s.seqname = c.seqname AND a_start <= f_end AND f_start <= a_end GROUP BY ALL")
+def _(spark, sf):
+    return I.compound_overlap_length(*_spliced(spark, sf)).withColumnRenamed("feature_id", "comp_id")
+
+
+@query("ov_levels", "aln feat", "SELECT aln_id, feature_id FROM aln a JOIN (SELECT feature_id, seqname, f_start - feature_id % 3 * 300 AS f_start, f_end + feature_id % 5 * 500 AS f_end FROM feat WHERE feature_id % 4 = 0) f ON a.seqname = f.seqname AND a_start <= f_end AND f_start <= a_end")
+def _(spark, sf):
+    f = features(spark, sf).filter("feature_id % 4 = 0")
+    f = f.withColumn("f_start", F.col("f_start") - F.col("feature_id") % 3 * 300).withColumn("f_end", F.col("f_end") + F.col("feature_id") % 5 * 500)
+    return I.interval_join(alignments(spark, sf), f).select("aln_id", "feature_id")
+
+
+_CTE["mate"] = "SELECT *, (k - 1) // 2 AS pair_ix, (k - 1) % 2 + 1 AS mate_ix FROM (SELECT *, row_number() OVER (PARTITION BY sample_id, read_id ORDER BY aln_id) AS k FROM aln)"
+_CTE["pairrow"] = """SELECT o.sample_id, o.read_id, o.pair_ix, o.aln_id, o.a_start AS a_start_1, t.a_start AS a_start_2, CAST(CASE WHEN t.aln_id IS NULL THEN o.as_score ELSE ceil((o.as_score + t.as_score) / 2.0) END AS BIGINT) AS as_score,
+    CASE WHEN t.aln_id IS NOT NULL THEN least(o.xs, t.xs) END AS xs, greatest(o.is_secondary, coalesce(t.is_secondary, 0)) AS is_secondary, CASE WHEN t.aln_id IS NULL THEN 20 ELSE abs(o.a_start - t.a_start) + 20 END AS frag_len,
+    t.aln_id IS NOT NULL AND o.seqname = t.seqname AS mated, greatest(o.a_end, t.a_end) - least(o.a_start, t.a_start) + 1 AS span
+    FROM (SELECT * FROM mate WHERE mate_ix = 1) o LEFT JOIN (SELECT * FROM mate WHERE mate_ix = 2) t USING (sample_id, read_id, pair_ix)"""
+
+
+def _mates(spark, sf):
+    return FR.numbered_mates(alignments(spark, sf))
+
+
+@query("pair_view", "pairrow", "SELECT aln_id, as_score, xs, is_secondary, CAST(frag_len AS BIGINT) AS frag_len FROM pairrow")
+def _(spark, sf):
+    p = FR.pairs(_mates(spark, sf))
+    return p.select("aln_id", "as_score", "xs", "is_secondary", FR.fragment_length().cast("long").alias("frag_len"))
+
+
+@query("fragment_lists", "pairrow", "SELECT sample_id, read_id, pair_ix, CASE WHEN mated THEN least(span, 40) ELSE 20 END::DOUBLE AS len FROM pairrow")
+def _(spark, sf):
+    return FR.lists(_mates(spark, sf)).select("sample_id", "read_id", F.col("pair_ix").cast("long").alias("pair_ix"), FR.list_length().alias("len"))
+
+
+@query("tt_mean_fragment_length", "pairrow", "SELECT sample_id, round(avg(frag_len), 6) AS mean_length FROM (SELECT *, count(*) OVER (PARTITION BY sample_id, read_id) AS n FROM pairrow) WHERE n = 1 AND abs(a_start_1 - a_start_2) <= 500 GROUP BY ALL")
+def _(spark, sf):
+    return FR.mean_fragment_length(FR.pairs(_mates(spark, sf))).withColumn("mean_length", F.round("mean_length", 6))
+
+
+@query("mate_names", "mate", "SELECT aln_id, read_id || '.' || k AS mate_name FROM mate")
+def _(spark, sf):
+    return FR.mate_names(_mates(spark, sf)).select("aln_id", "mate_name")
+
+
+# ---- consensus positions, tracks, sequence names ---------------------------------------------------
+_CTE["pos"] = "SELECT frag_id, rep_name, strand, frag_id % 50 + 1 AS rep_start, 300 + frag_id % 40 AS rep_end, -(frag_id % 400) AS rep_left FROM frag"
+
+
+def _positions(spark, sf):
+    k = F.col("frag_id")
+    return rmsk(spark, sf).select("frag_id", "rep_name", "strand", (k % 50 + 1).alias("rep_start"), (300 + k % 40).alias("rep_end"), (-(k % 400)).alias("rep_left"))
+
+
+@query("rmsk_cons_positions", "pos", "SELECT rep_name, cons_len FROM (SELECT rep_name, cons_len, row_number() OVER (PARTITION BY rep_name ORDER BY count(*) DESC, cons_len) AS k FROM (SELECT rep_name, rep_end + CASE WHEN strand = '+' THEN abs(rep_left) ELSE abs(rep_start) END AS cons_len FROM pos) GROUP BY rep_name, cons_len) WHERE k = 1")
+def _(spark, sf):
+    return A.consensus_lengths(_positions(spark, sf), A.consensus_end())
+
+
+@query("rmsk_cons_start", "pos", "SELECT frag_id, CASE WHEN s > rep_end THEN rep_end + 1 ELSE s END AS c_start FROM (SELECT *, CASE WHEN strand = '+' THEN abs(rep_start) ELSE abs(rep_left) END AS s FROM pos)")
+def _(spark, sf):
+    return _positions(spark, sf).select("frag_id", A.consensus_start().alias("c_start"))
+
+
+@query("rmsk_strict_compound", "rel0", "SELECT assembly, CAST(width AS BIGINT) AS width FROM rel0 WHERE width >= 80 AND milli_div < 150")
+def _(spark, sf):
+    p = A.assembly_parser(rmsk(spark, sf), insert=_INSERT, dictionary=_dict(spark), cons=_cons(spark, sf))
+    return p.filter((F.col("width") >= 80) & (F.col("milli_div") < 150)).select("assembly", "width")
+
+
+_TRACK = "SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN 'hg38' WHEN 1 THEN 'mm10' ELSE 'dm6' END AS genome, 'UCSC RepeatMasker annotations (' || ['Jan','Mar','Oct'][p_partkey % 3 + 1] || (2000 + p_partkey % 23) || ') for it' AS title FROM part"
+
+
+@query("annotation_newest", "", f"SELECT id, genome, title FROM (SELECT *, row_number() OVER (PARTITION BY genome ORDER BY strptime('1' || regexp_extract(title, ' \\(([A-Za-z]{{3}}[0-9]{{4}})\\) ', 1), '%d%b%Y') DESC, id) AS k FROM ({_TRACK})) WHERE k = 1")
+def _(spark, sf):
+    from vellumine.sources.annotations import newest
+
+    k = F.col("p_partkey")
+    month = F.element_at(F.array(F.lit("Jan"), F.lit("Mar"), F.lit("Oct")), (k % 3 + 1).cast("int"))
+    tracks = spark.read.parquet(f"{sf}/part.parquet").select(
+        k.alias("id"), F.element_at(F.array(F.lit("hg38"), F.lit("mm10"), F.lit("dm6")), (k % 3 + 1).cast("int")).alias("genome"),
+        F.concat(F.lit("UCSC RepeatMasker annotations ("), month, (2000 + k % 23).cast("string"), F.lit(") for it")).alias("title"),
+    )
+    return newest(tracks, "hg38").unionByName(newest(tracks, "mm10")).unionByName(newest(tracks, "dm6"))
+
+
+@query("match_sequences", "aln", "SELECT 'chr' || seqname AS seqname, count(*) AS n FROM aln WHERE seqname NOT IN (2, 4) GROUP BY ALL")
+def _(spark, sf):
+    from vellumine.sources.annotations import match_sequences
+
+    own = spark.range(5).select(F.col("id").cast("string").alias("seqname"), (F.col("id") * 100 + 100).alias("length"))
+    of = spark.range(4).select(F.concat(F.lit("chr"), F.col("id").cast("string")).alias("seqname"), F.when(F.col("id") == 2, 7).otherwise(F.col("id") * 100 + 100).alias("length"))
+    alns = alignments(spark, sf).withColumn("seqname", F.col("seqname").cast("string"))
+    return match_sequences(alns, own, of).groupBy("seqname").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("tt_log_likelihood")
+def _(spark, sf):
+    w, pi = _ratio3(spark, sf)
+    return E.ratio_log_likelihood(w, pi).withColumn("log_likelihood", F.round("log_likelihood", 4))
+
+
+ORACLE_SQL["tt_log_likelihood"] = _RATIO3 + " SELECT sample_id, round(sum(CASE WHEN pi > 0 THEN pi / s * ln(pi) END), 4) AS log_likelihood FROM (SELECT m.*, p.pi, sum(p.pi) OVER (PARTITION BY m.sample_id, m.read_id) AS s FROM mte m JOIN p3 p USING (sample_id, feature_id)) GROUP BY ALL"

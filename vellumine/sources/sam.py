@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vellumine.functions import clipped, has_flag, passes_flags, query_width, reference_width
+from vellumine.functions import aligned_blocks, clipped, has_flag, passes_flags, query_width, reference_width
 
 SECONDARY, REVERSE, FIRST_MATE, LAST_MATE = 0x100, 0x10, 0x40, 0x80
 #: Integer tags that methods ask for, by column.
@@ -37,11 +37,16 @@ def parse(lines: DataFrame, tags: dict[str, str] = TAGS) -> DataFrame:
         F.when(at(6) == "=", at(2)).otherwise(at(6)).alias("mate_seqname"), at(7).try_cast("long").alias("mate_start"),
         *[_tag(F.get("f", F.lit(11)), tag).alias(name) for name, tag in tags.items()],
     )
+    return derived(rows)
+
+
+def derived(rows: DataFrame) -> DataFrame:
+    """Columns that follow from position, CIGAR and flag."""
     return rows.select(
         "*",
         F.when(has_flag(F.col("flag"), REVERSE), "-").otherwise("+").alias("strand"),
         (F.col("a_start") + reference_width(F.col("cigar")) - 1).alias("a_end"),
-        query_width(F.col("cigar")).alias("qwidth"), clipped(F.col("cigar")).alias("clip"),
+        aligned_blocks(F.col("a_start"), F.col("cigar")).alias("blocks"), query_width(F.col("cigar")).alias("qwidth"), clipped(F.col("cigar")).alias("clip"),
         has_flag(F.col("flag"), SECONDARY).cast("int").alias("is_secondary"),
         F.when(has_flag(F.col("flag"), FIRST_MATE), 1).when(has_flag(F.col("flag"), LAST_MATE), 2).alias("mate_ix"),
     )
