@@ -5,44 +5,15 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import tempfile
-import uuid
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vellumine.shared import discard, shared_dir
+from vellumine.shared import written as materialise
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    ``spark.checkpoint.dir`` names it; only where that is unset (tests, one machine) a
-    temporary folder is made and set.
-    """
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="vellumine-"))
-    return sc.getCheckpointDir()
-
-
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there, and the
-    files survive the loss of any executor."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    table = spark.read.schema(df.schema).parquet(path)
-    table._written = path
-    return table
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete the files of materialised tables that nothing reads any more."""
-    for t in tables:
-        jvm, conf = t.sparkSession.sparkContext._jvm, t.sparkSession.sparkContext._jsc.hadoopConfiguration()
-        path = jvm.org.apache.hadoop.fs.Path(t._written)
-        path.getFileSystem(conf).delete(path, True)
+__all__ = ["discard", "materialise", "shared_dir"]
 
 
 _model: dict = {}
