@@ -39,7 +39,7 @@ def test_token_counts_equal_the_unigram_tokenizer(docs, empty):
     low = float(lat.scores.min())
     vocab = [("<unk>", 0.0), *zip(lat.pieces, lat.scores.tolist()), *[(f"<0x{i:02X}>", low) for i in range(256)]]
     unigram = Tokenizer(models.Unigram(vocab, 0, byte_fallback=True))
-    got = [(r.text, r.n_tokens) for r in token_count.token_counts(docs.drop("n_tokens")).collect()]
+    got = [(r.text, r.n_tokens) for r in token_count.token_counts(docs.withColumnRenamed("n_tokens", "N_Tokens")).collect()]
     assert sorted(n for _, n in got) == sorted(len(unigram.encode("▁" + t.replace(" ", "▁")).ids) if t else 0 for t, _ in got)
     assert token_count.token_counts(empty).count() == 0
 
@@ -364,6 +364,49 @@ def test_license_scan(docs, empty):
     assert license_scan.scan(empty).count() == 0
 
 
+def test_license_base_places_equal_brute_force(spark):
+    rng = np.random.default_rng(8)
+    words = ["cc", "CC", "by", "By-nc", "general", "public", "license", "GENERAL-Public", "all", "rights", "reserved", "é", "x1", "cc-by", "_", "!"]
+    rows = [(k, None if k % 50 == 0 else "".join(str(rng.choice(words)) + str(rng.choice([" ", "\n", "-", ". "])) for _ in range(int(rng.integers(0, 60))))) for k in range(600)]
+    got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, text in rows:
+        low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+        found = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+        places = [(a, label) for phrase, label in license_scan.BASE.items() for a in range(len(found)) if found[a : a + len(phrase.split())] == phrase.split()]
+        r, starts = got[k], [a for a, _ in places]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(found), len(places), min(starts, default=None), max(starts, default=None))
+        assert r.base_labels == ",".join(sorted({x for _, x in places})) and set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(","))
+
+
+def test_there_are_hundreds_of_hand_written_rules():
+    assert len(license_scan.SIGNATURES.strip().splitlines()) >= 200
+
+
+def test_mixing_sizes_and_targets_equal_brute_force(spark):
+    rng = np.random.default_rng(9)
+    rows = [(k, None if k % 40 == 0 else "w " * int(rng.integers(0, 30)), [None, "b", "Z", "é", "a"][int(rng.choice(5, p=[0.05, 0.6, 0.2, 0.1, 0.05]))]) for k in range(800)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {(r.doc_id, r.size, r.source_size, round(r.target, 6)) for r in mixing.mix(df).collect()}
+    sized = [(d, s, len((t or "").split())) for d, t, s in rows]
+    sums = {}
+    for _, source, size in sized:
+        sums[source] = sums.get(source, 0) + size
+    order = sorted(sums, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}
+    target, free, rest = {}, set(order), 1.5 * sum(sums.values())
+    while True:  # hand the excess on until no source is above twice its size
+        share = {s: rest * weight[s] / sum(weight[x] for x in free) for s in free}
+        over = {s for s in free if share[s] > 2 * sums[s]}
+        if not over:
+            target |= share
+            break
+        for s in over:
+            target[s] = 2.0 * sums[s]
+            rest -= target[s]
+        free -= over
+    assert got == {(d, n, sums[s], round(float(target[s]), 6)) for d, s, n in sized}
+
+
 def _shortest(tree) -> list[str]:
     """A shortest text for every way through an expression's branches."""
     out = [""]

@@ -411,7 +411,7 @@ def extract(page: str | None) -> str:
 def main_text(df: DataFrame, html: str = "html") -> DataFrame:
     """``df`` without ``html`` but with ``text`` and ``n_chars`` (columns of those names are
     replaced). One pass, no shuffle."""
-    kept = [f for f in df.schema.fields if f.name not in (html, "text", "n_chars")]
+    kept = [f for f in df.schema.fields if f.name.lower() not in (html.lower(), "text", "n_chars")]
     schema = T.StructType([*kept, T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def run(batches):

@@ -213,7 +213,7 @@ def predict(df: DataFrame, languages: list[str], prob: np.ndarray, text: str = "
     score 0 if the text is null, empty or without a letter, or if nothing could be learned.
     One pass without a shuffle; ties go to the first language in order. The model, of fixed size
     a language, travels with the tasks as a broadcast."""
-    kept = [f for f in df.schema.fields if f.name not in ("lang_pred", "score")]
+    kept = [f for f in df.schema.fields if f.name.lower() not in ("lang_pred", "score")]
     schema = T.StructType([*kept, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     sent = df.sparkSession.sparkContext.broadcast((languages, prob))
 

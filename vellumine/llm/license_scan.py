@@ -132,7 +132,7 @@ afl-3.0 | 80 | 90 | academic free | academic free licen[cs]e(?: version| v)?(?:
 ncsa | 80 | 90 | ncsa | (?:university of illinois )?ncsa open source licen[cs]e
 postgresql | 80 | 90 | postgresql | postgresql licen[cs]e
 vim | 60 | 80 | vim | vim licen[cs]e
-ssl-1.0 | 80 | 90 | server side public | server side public licen[cs]e(?: version| v)?(?: 1)?
+sspl-1.0 | 80 | 90 | server side public | server side public licen[cs]e(?: version| v)?(?: 1)?
 elastic-2.0 | 80 | 90 | elastic | elastic licen[cs]e(?: version| v)?(?: 2(?: 0)?)?
 busl-1.1 | 80 | 90 | business source | business source licen[cs]e(?: version| v)?(?: 1 1)?
 odbl-1.0 | 80 | 90 | open database | (?:odc )?open database licen[cs]e(?: version| v)?(?: 1(?: 0)?)?
@@ -167,6 +167,80 @@ reserved | 50 | 80 | may not be reproduced | (?:no part of this [a-z]+ )?may not
 proprietary | 50 | 80 | proprietary | proprietary (?:and confidential|licen[cs]e|software)
 copyright | 20 | 50 | copyright | copyright (?:c )?(?:19|20)[0-9]{2}
 eula | 50 | 80 | end user licen | end user licen[cs]e agreement
+afl-2.1 | 85 | 92 | academic free | academic free licen[cs]e(?: version| v)? 2 1
+afl-1.2 | 85 | 92 | academic free | academic free licen[cs]e(?: version| v)? 1 2
+osl-2.1 | 85 | 92 | open software | open software licen[cs]e(?: version| v)? 2 1
+osl-1.0 | 85 | 92 | open software | open software licen[cs]e(?: version| v)? 1(?: 0)?
+rpl-1.5 | 85 | 92 | reciprocal public | reciprocal public licen[cs]e(?: version| v)?(?: 1 5)?
+apsl-2.0 | 85 | 92 | apple public source | apple public source licen[cs]e(?: version| v)?(?: 2(?: 0)?)?
+sissl | 80 | 90 | sun industry | sun industry standards source licen[cs]e
+spl-1.0 | 80 | 90 | sun public | sun public licen[cs]e(?: version| v)?(?: 1(?: 0)?)?
+qpl-1.0 | 80 | 90 | q public | q public licen[cs]e(?: version| v)?(?: 1(?: 0)?)?
+lppl-1.3 | 90 | 95 | latex project | latex project public licen[cs]e(?: version| v)? 1 3[ac]?
+lppl | 60 | 80 | latex project | latex project public licen[cs]e
+ecl-2.0 | 85 | 92 | educational community | educational community licen[cs]e(?: version| v)?(?: 2(?: 0)?)?
+upl-1.0 | 85 | 92 | universal permissive | universal permissive licen[cs]e(?: version| v)?(?: 1(?: 0)?)?
+w3c | 80 | 90 | w3c | w3c software (?:and document )?(?:notice and )?licen[cs]e
+zpl-2.1 | 90 | 95 | zope | zope public licen[cs]e(?: version| v)? 2 1
+zpl | 60 | 80 | zope | zope public licen[cs]e
+unicode | 80 | 90 | unicode | unicode (?:inc )?licen[cs]e agreement
+icu | 80 | 90 | icu | icu licen[cs]e
+ibm-pibs | 80 | 90 | ibm powerpc | ibm powerpc initialization and boot software licen[cs]e
+bittorrent | 80 | 90 | bittorrent | bittorrent open source licen[cs]e
+sleepycat | 80 | 90 | sleepycat | sleepycat licen[cs]e
+tcl | 70 | 85 | tcl | tcl(?: tk)? licen[cs]e
+jasper | 80 | 90 | jasper | jasper licen[cs]e
+imagemagick | 80 | 90 | imagemagick | imagemagick licen[cs]e
+freetype | 80 | 90 | freetype | freetype (?:project )?licen[cs]e
+ijg | 80 | 90 | jpeg | independent jpeg group licen[cs]e
+libtiff | 80 | 90 | libtiff | libtiff licen[cs]e
+info-zip | 80 | 90 | info zip | info zip licen[cs]e
+hpnd | 80 | 90 | historical permission | historical permission notice and disclaimer licen[cs]e
+beerware | 80 | 90 | beer | beer ?ware licen[cs]e
+json | 70 | 85 | json | (?:the )?json licen[cs]e
+naumen | 80 | 90 | naumen | naumen public licen[cs]e
+nokia | 80 | 90 | nokia | nokia open source licen[cs]e
+intel | 70 | 85 | intel | intel open source licen[cs]e
+sgi-b-2.0 | 85 | 92 | sgi free | sgi free software licen[cs]e b(?: version| v)?(?: 2(?: 0)?)?
+motosoto | 80 | 90 | motosoto | motosoto open source licen[cs]e
+mulan-2.0 | 85 | 92 | mulan | mulan (?:permissive software|psl) licen[cs]e(?: version| v)?(?: 2(?: 0)?)?
+mulan-2.0 | 85 | 92 | mulan | mulan psl ?v2 licen[cs]e
+bluoak-1.0 | 85 | 92 | blue oak | blue oak model licen[cs]e(?: version| v)?(?: 1 0(?: 0)?)?
+parity-7.0 | 85 | 92 | parity | parity public licen[cs]e(?: version| v)?(?: 7 0(?: 0)?)?
+polyform-noncommercial-1.0 | 90 | 95 | polyform | polyform noncommercial licen[cs]e(?: version| v)?(?: 1 0(?: 0)?)?
+polyform-small-business-1.0 | 90 | 95 | polyform | polyform small business licen[cs]e(?: version| v)?(?: 1 0(?: 0)?)?
+polyform | 50 | 75 | polyform | polyform [a-z]+ licen[cs]e
+hippocratic-2.1 | 85 | 92 | hippocratic | hippocratic licen[cs]e(?: version| v)?(?: 2 1)?
+commons-clause | 80 | 90 | commons clause | commons clause (?:restriction )?licen[cs]e(?: condition)?
+fsl-1.1 | 85 | 92 | functional source | functional source licen[cs]e(?: version| v)?(?: 1 1)?
+confluent-1.0 | 85 | 92 | confluent community | confluent community licen[cs]e(?: agreement)?(?: version| v)?(?: 1 0)?
+timescale | 80 | 90 | timescale | timescale licen[cs]e(?: agreement)?
+redis-sal | 80 | 90 | redis source | redis source available licen[cs]e
+openrail | 85 | 92 | openrail | (?:creativeml |bigscience )?open ?rail(?: m| s)? licen[cs]e
+bigscience-rail-1.0 | 88 | 93 | bigscience | bigscience rail licen[cs]e(?: version| v)?(?: 1 0)?
+llama | 80 | 90 | llama | llama (?:[234] )?community licen[cs]e
+gemma | 70 | 85 | gemma | gemma licen[cs]e
+cdla-permissive-2.0 | 90 | 95 | community data | community data licen[cs]e agreement permissive(?: version| v)?(?: 2 0)?
+cdla-permissive-1.0 | 91 | 95 | community data | community data licen[cs]e agreement permissive(?: version| v)? 1 0
+cdla-sharing-1.0 | 90 | 95 | community data | community data licen[cs]e agreement sharing(?: version| v)?(?: 1 0)?
+dbcl-1.0 | 85 | 92 | database contents | (?:odc )?database contents licen[cs]e(?: version| v)?(?: 1 0)?
+etalab-2.0 | 80 | 90 | etalab | etalab open licen[cs]e(?: version| v)?(?: 2 0)?
+dl-de-by-2.0 | 80 | 90 | data licence germany | data licen[cs]e germany attribution(?: version| v)?(?: 2 0)?
+ogl-canada-2.0 | 85 | 92 | canada | open government licen[cs]e canada(?: version| v)?(?: 2 0)?
+ogl-1.0 | 85 | 92 | open government | open government licen[cs]e(?: version| v)? 1(?: 0)?
+ogl-2.0 | 85 | 92 | open government | open government licen[cs]e(?: version| v)? 2(?: 0)?
+free-art-1.3 | 80 | 90 | free art | free art licen[cs]e(?: version| v)?(?: 1 3)?
+cern-ohl-p-2.0 | 90 | 95 | cern | cern open hardware licen[cs]e(?: version| v)? 2 permissive
+cern-ohl-s-2.0 | 90 | 95 | cern | cern open hardware licen[cs]e(?: version| v)? 2 strongly reciprocal
+cern-ohl | 60 | 80 | cern | cern open hardware licen[cs]e
+solderpad-2.1 | 85 | 92 | solderpad | solderpad hardware licen[cs]e(?: version| v)?(?: 2 1)?
+tapr-ohl | 80 | 90 | tapr | tapr open hardware licen[cs]e
+dsl | 70 | 85 | design science | design science licen[cs]e
+opl | 60 | 80 | open publication | open publication licen[cs]e
+ubuntu-font-1.0 | 85 | 92 | ubuntu font | ubuntu font licen[cs]e(?: version| v)?(?: 1 0)?
+bitstream-vera | 80 | 90 | bitstream vera | bitstream vera (?:fonts )?licen[cs]e
+eula | 45 | 75 | software licen | (?:this )?software licen[cs]e agreement
+all-permissive | 80 | 90 | copying and distribution of this file | copying and distribution of this file with or without modification are permitted in any medium without royalty provided the copyright notice
 """
 
 #: Identifiers behind "SPDX-License-Identifier"; their rules follow from the names.

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from vellumine.llm.common import one_model
 from vellumine.llm.lattice import MARK, VOCABULARY, Lattice, by_end, lattice
 
 #: Words a worker remembers before it starts afresh; bounds memory only.
@@ -99,23 +100,14 @@ class TokenCounter:
         return out
 
 
-_counters: dict[str, TokenCounter] = {}
-
-
-def _counter(vocabulary: str) -> TokenCounter:
-    if vocabulary not in _counters:
-        _counters[vocabulary] = TokenCounter(lattice(vocabulary))
-    return _counters[vocabulary]
-
-
 def token_counts(df: DataFrame, text: str = "text", out: str = "n_tokens", vocabulary: str = VOCABULARY) -> DataFrame:
     """``df`` with a column ``out`` (long): tokens of its whole text. A column of that name is
     replaced. One pass, no shuffle; the text is not returned when ``df`` lacks it otherwise."""
-    kept = [f for f in df.schema.fields if f.name != out]
+    kept = [f for f in df.schema.fields if f.name.lower() != out.lower()]
     schema = T.StructType([*kept, T.StructField(out, T.LongType())])
 
     def run(batches):
-        counter = _counter(vocabulary)
+        counter = one_model(("counts", vocabulary), lambda: TokenCounter(lattice(vocabulary)))
         for batch in batches:
             counts = counter.count(batch.column(batch.schema.get_field_index(text)).to_pylist())
             columns = [batch.column(batch.schema.get_field_index(f.name)) for f in kept]
