@@ -21,8 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellumine.operators.weights import READ, by_read
-from vellumine.shared import discard, written
+from vellumine.operators.weights import READ, by_read, settled
 
 #: Classes that may come to the driver; beyond it the rows stay in Spark.
 MOST_CLASSES = 2_000_000
@@ -152,17 +151,19 @@ def classes(q: DataFrame) -> dict[str, Classes]:
     per = q.groupBy(*READ).agg(cell.alias("cells")).groupBy("sample_id", "cells").count()
     if per.limit(MOST_CLASSES + 1).count() > MOST_CLASSES:
         raise TooManyClasses("too many equivalence classes for the driver; iterate in Spark")
-    found: dict[str, list] = {}
-    for r in per.collect():
-        found.setdefault(r["sample_id"], []).append((r["cells"], r["count"]))
+    table = per.toArrow()
+    cells = table.column("cells").combine_chunks()
+    row = np.repeat(np.arange(len(cells)), np.diff(cells.offsets.to_numpy()))
+    feature, weight = cells.flatten().field("feature_id"), cells.flatten().field("w").to_numpy(zero_copy_only=False).astype(float)
+    feature = feature.to_numpy(zero_copy_only=False)
+    sample, count = np.array(table.column("sample_id").to_pylist(), object), table.column("count").to_numpy().astype(float)
     out = {}
-    for sample, rows in found.items():
-        feats = sorted({c["feature_id"] for cells, _ in rows for c in cells})
-        at = {f: k for k, f in enumerate(feats)}
-        out[sample] = Classes(
-            feats, np.array([n for _, n in rows], float), np.concatenate([np.full(len(cells), k) for k, (cells, _) in enumerate(rows)]),
-            np.array([at[c["feature_id"]] for cells, _ in rows for c in cells]), np.array([c["w"] for cells, _ in rows for c in cells], float),
-        )
+    for name in dict.fromkeys(sample.tolist()):
+        mine = sample == name
+        held = mine[row]
+        feats, column = np.unique(feature[held], return_inverse=True)
+        place = np.cumsum(mine) - 1
+        out[name] = Classes(feats.tolist(), count[mine], place[row[held]], column, weight[held])
     return out
 
 
@@ -238,11 +239,11 @@ def _fit(q: DataFrame, state: DataFrame, on_classes, on_rows, finish, tolerance:
     ``on_rows`` make the step of ``pi`` for a sample's classes or rows and columns of the state."""
     spark = q.sparkSession
     table = state.orderBy("sample_id", "feature_id").toArrow()
-    q = written(q.join(state.select("sample_id", "feature_id"), ["sample_id", "feature_id"], "left_semi"), "cells")
+    q = q.join(state.select("sample_id", "feature_id"), ["sample_id", "feature_id"], "left_semi")
     try:
         found = classes(q)
     except TooManyClasses:
-        found = None
+        found, q = None, settled(q)
     names = table.column("sample_id").to_pylist()
     report: Report = {}
     done = {f: [] for f in table.column_names}
@@ -260,7 +261,7 @@ def _fit(q: DataFrame, state: DataFrame, on_classes, on_rows, finish, tolerance:
         report[sample] = used, reached
         for f, values in v.items():
             done[f].extend(values)
-    discard(q)
+    q.unpersist()
     return spark.createDataFrame(pa.table({f: pa.array(done[f], table.schema.field(f).type) for f in table.column_names}), state.schema), report
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vellumine.shared import written
+
 READ = ["sample_id", "read_id"]
 NO_FEATURE = -1
 
@@ -13,6 +15,12 @@ def by_read(*more: str):
     return Window.partitionBy(*READ, *more)
 
 
+def settled(q: DataFrame) -> DataFrame:
+    """``q`` written, then dealt by read and kept: every step's windows over reads find it dealt so,
+    and what a lost executor held is read again from the table."""
+    return written(q, "cells").repartition(*READ).persist()
+
+
 def unique_reads(alns: DataFrame) -> DataFrame:
     """(sample_id, read_id, is_unique): one alignment in all that were scanned."""
     return alns.groupBy(*READ).agg((F.count(F.lit(1)) == 1).alias("is_unique"))

@@ -519,7 +519,7 @@ ORACLE_SQL["tt_effective_length"] = _with("", "mte eff").rstrip() + ",\n" + _RAT
 
 def _ratio3(spark, sf):
     w, eff = _mte(spark, sf)
-    w = written(w)
+    w = W.settled(w)
     return w, E.iterate(lambda s: E.ratio_step(w, s), E.ratio_start(w, eff), 3, written)
 
 
@@ -587,7 +587,7 @@ _TSX = _TS3 + _pair_sql("tsq", 4).rsplit(",\n a4", 1)[0]
 
 def _ts3(spark, sf):
     f, q = _ts_q(spark, sf)
-    q = written(q)
+    q = W.settled(q)
     return q, E.iterate(lambda s: E.pair_step(q, s), E.pair_start(q), 3, written)
 
 
@@ -642,7 +642,7 @@ def _(spark, sf):
 
 @query("at_em_k3_priors")
 def _(spark, sf):
-    q = written(_at_q(spark, sf))
+    q = W.settled(_at_q(spark, sf))
     prior = lambda k: features(spark, sf).select("feature_id", (F.col("feature_id") % k * 0.1).alias("prior"))
     state = P.with_prior(P.with_prior(E.pair_start(q, uniform=False), prior(3), "a"), prior(2), "b")
     s = E.iterate(lambda s: E.pair_step(q, s), state, 3, written)
