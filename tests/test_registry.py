@@ -25,4 +25,4 @@ def test_query_equals_sql(spark, name):
 
 
 def test_queries_without_sql_are_those_tested_by_brute_force():
-    assert set(registry.QUERIES) - set(registry.ORACLE_SQL) == {"ts_reassign_choose", "qtex_tetranscripts", "qtex_telescope", "qtex_atena"}
+    assert set(registry.QUERIES) - set(registry.ORACLE_SQL) == {"ts_reassign_choose", "qtex_tetranscripts", "qtex_telescope", "qtex_softmax"}

@@ -142,11 +142,11 @@ class TelescopeParam(_PairParam):
     def __post_init__(self) -> None:
         super().__post_init__()
         if isinstance(self.pi_prior, DataFrame) or isinstance(self.theta_prior, DataFrame):
-            raise ParameterError("priors by feature belong to AtenaParam")
+            raise ParameterError("priors by feature belong to SoftmaxParam")
 
 
 @dataclass(frozen=True, repr=False, eq=False)
-class AtenaParam(_PairParam):
+class SoftmaxParam(_PairParam):
     """Two-parameter EM over alignments of one feature, with no-feature columns by read pattern."""
 
 

@@ -622,7 +622,7 @@ def _param(cls, spark, sf, genes=True, **more):
 
 
 def _at_q(spark, sf):
-    return M.atena_cells(_param(P.AtenaParam, spark, sf), written(alignments(spark, sf)))
+    return M.softmax_cells(_param(P.SoftmaxParam, spark, sf), written(alignments(spark, sf)))
 
 
 @query("at_softmax", "ata", "SELECT aln_id, round(ln(s), 6) AS log_s FROM ata")
@@ -691,9 +691,9 @@ def _(spark, sf):
     return M.qtex(_param(P.TelescopeParam, spark, sf), auxiliary=True).assay()
 
 
-@query("qtex_atena")
+@query("qtex_softmax")
 def _(spark, sf):
-    return M.qtex(_param(P.AtenaParam, spark, sf, pi_prior=0.1), auxiliary=False).assay()
+    return M.qtex(_param(P.SoftmaxParam, spark, sf, pi_prior=0.1), auxiliary=False).assay()
 
 
 @query("tag_probe", "aln", "SELECT bool_or(nm IS NOT NULL) AS has_NM, bool_or(as_score IS NOT NULL) AS has_AS, bool_and(xs IS NOT NULL) AS has_XS FROM (SELECT aln_id, nm, as_score, CASE WHEN xs < 35 THEN xs END AS xs FROM aln WHERE is_secondary = 0 ORDER BY aln_id LIMIT 1000)")
