@@ -11,8 +11,9 @@ lanes share and that start afresh with each block:
 For each id the coder first codes which order gives it. That choice mixes three adaptive
 distributions (of increasingly narrow contexts: the order-2 confidence and the lane's last choice;
 that confidence and how settled order 1 is; all of them) by weights that follow how well each has
-done. Then order 1 or order 0 codes the id. Counts take in new ids after each eighth part more. All arithmetic is on integers, so the reader
-follows the writer exactly. The range coder keeps 64 bits, emits 32-bit words and carries into them.
+done. Then order 1 or order 0 codes the id. Counts take in new ids after each quarter more. All
+arithmetic is on integers, so the reader follows the writer exactly. The range coder keeps
+64 bits, emits 32-bit words and carries into them.
 
 A block begins with the list of its distinct ids, so ids may be any unsigned 32-bit numbers. Files
 are Parquet rows, one coded block each, so that Spark's committer writes them to any store and a
@@ -36,7 +37,7 @@ from vellumine.llm.bpe import END_ID, VOCABULARY, encoder
 from vellumine.llm.common import partitions, shared_dir
 
 MAGIC = b"VIC2"
-LANE = 512
+LANE = 256
 #: A block closes with the document that reaches so many ids.
 BLOCK_IDS = 1 << 21
 #: Blocks whose starts (two numbers each) may be broadcast.
@@ -50,7 +51,7 @@ _TOP = np.uint64(1) << np.uint64(32)
 _CHOICE = np.uint64(4096)
 _NONE, _ONE = np.uint64(0), np.uint64(1)
 #: Steps after which the choice's distributions take in what was chosen.
-_MIX_STEPS = 4
+_MIX_STEPS = 8
 #: Confidence x how settled x last choice, and the narrower contexts of each.
 _GRID = np.arange(4 * 32 * 3)
 _PARTS = (_GRID // 96 * 3 + _GRID % 3, _GRID // 3, _GRID)
@@ -112,7 +113,12 @@ class _Models:
         kinds = np.minimum(4 * (kinds[first[1:]] - kinds[first[:-1]]) // np.maximum(self.total1, 1), 3)
         self.settled = (np.searchsorted(_POWERS, self.total1, "right") * 4 + kinds) * 3
         self.cum0 = np.concatenate([[0], np.cumsum(self.count)])
-        return max(1, max(256, self.seen >> 3) // self.lanes)
+        return max(1, max(256, self.seen >> 2) // self.lanes)
+
+    def lay_out(self) -> None:
+        """For the reader: a place for each count, so that a value finds its key or id at once."""
+        self.key_at = np.repeat(np.arange(len(self.counts), dtype=np.int32), self.counts)
+        self.id_at = np.repeat(np.arange(self.alphabet, dtype=np.int32), self.count)
 
     def miss(self, literals: np.ndarray) -> None:
         self.count += np.bincount(literals, minlength=self.alphabet) * _STEP
@@ -215,6 +221,24 @@ class _Reader:
         self.code, self.range = code, width
 
 
+def _ranked(keys: np.ndarray, bound: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each key's rank among the distinct keys (all under ``bound``), and these, ascending. Where
+    key and place fit one number, sorting these numbers is quicker than hashing."""
+    bits = len(keys).bit_length()
+    if bound.bit_length() + bits > 63:
+        return pd.factorize(keys, sort=True)
+    packed = keys << bits
+    packed |= np.arange(len(keys))
+    packed.sort()
+    place = packed & ((1 << bits) - 1)
+    packed >>= bits
+    new = np.empty(len(keys), bool)
+    new[0], new[1:] = True, packed[1:] != packed[:-1]
+    rank = np.empty(len(keys), np.int32)
+    rank[place] = np.cumsum(new, dtype=np.int32) - 1
+    return rank, packed[new]
+
+
 def encode_ids(ids: np.ndarray) -> bytes:
     """One block of ids (unsigned 32-bit) as bytes."""
     n = len(ids)
@@ -229,7 +253,7 @@ def encode_ids(ids: np.ndarray) -> bytes:
         grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)
         m, w, due = _Models(lanes, len(known)), _Writer(lanes, steps), 0
         before = np.concatenate([m.prev1[None, :], grid[:-1]])
-        rank, keys = pd.factorize((before * m.stride + grid).ravel(), sort=True)
+        rank, keys = _ranked((before * m.stride + grid).ravel(), m.stride * m.stride)
         m.know(keys)
         rank = rank.reshape(grid.shape)
         for t, row in enumerate(grid):
@@ -282,6 +306,7 @@ def decode_ids(block: bytes) -> np.ndarray:
                 m.follow(before * m.stride + grid[begin:t])
                 m.miss(grid[begin:t][choices[begin:t] == 2])
             begin, start, due = t, m.prev1, t + m.take_in()
+            m.lay_out()
         m.look(m.settled[m.prev1])
         v = r.value(_CHOICE)
         choice = (v >= m.second[m.context]).astype(np.int64) + (v >= m.third[m.context])
@@ -293,8 +318,7 @@ def decode_ids(block: bytes) -> np.ndarray:
         total, low, size = np.ones(lanes, np.uint64), np.zeros(lanes, np.uint64), np.ones(lanes, np.uint64)
         total[one], total[two] = m.total1[before], m.cum0[-1]
         v, base = r.value(total), m.base[before]
-        at = np.minimum(np.searchsorted(m.cum, base + v[one], "right") - 1, len(m.keys) - 1)
-        x = np.minimum(np.searchsorted(m.cum0, v[two], "right") - 1, alphabet - 1)
+        at, x = m.key_at[base + v[one]], m.id_at[v[two]]
         low[one], low[two] = m.cum[at] - base, m.cum0[x]
         size[one], size[two] = m.counts[at], m.count[x]
         r.accept(low, size)
