@@ -65,7 +65,7 @@ def test_memo_encoder_equals_whole_text():
         assert np.frombuffer(encoder().ids(t or ""), "<u4").tolist() == _ids(t)[:-1]
 
 
-@pytest.mark.parametrize("n", [0, 1, 2, 511, 513, 5000])
+@pytest.mark.parametrize("n", [0, 1, 2, 255, 257, 511, 513, 5000])
 def test_codec_round_trip_and_checksums(n):
     ids = np.random.default_rng(n).zipf(1.3, n) % 50257
     block = id_codec.encode_ids(ids)
@@ -75,6 +75,14 @@ def test_codec_round_trip_and_checksums(n):
             id_codec.decode_ids(block[:-1] + bytes([block[-1] ^ 1]))
 
 
+def test_ranks_are_the_same_by_sort_and_by_hash():
+    keys = np.random.default_rng(3).integers(0, 500, 4000)
+    by_sort, by_hash = id_codec._ranked(keys, 500), id_codec._ranked(keys, 1 << 62)
+    known, rank = np.unique(keys, return_inverse=True)
+    for got, distinct in (by_sort, by_hash):
+        assert (got == rank).all() and (distinct == known).all()
+
+
 def test_codec_takes_any_ids_and_comes_near_their_entropy():
     rng = np.random.default_rng(5)
     for ids in (rng.integers(0, 1 << 32, 3000), np.zeros(4000, int), np.array([0, (1 << 32) - 1])):
