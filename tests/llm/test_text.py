@@ -5,10 +5,12 @@ import re
 import zlib
 
 import numpy as np
+import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from vellumine.llm import exact_dedup, html_extract, id_codec, language_id, license_scan, mixing, ngram_join, packing, token_count, topk
+from vellumine.llm import bpe, exact_dedup, html_extract, id_codec, language_id, license_scan, mixing, ngram_join, packing, token_count, topk
 from vellumine.llm.bpe import encoder
 from vellumine.llm.lattice import lattice
 from vellumine.llm.shingles import shingle_sets
@@ -65,6 +67,27 @@ def test_memo_encoder_equals_whole_text():
         assert np.frombuffer(encoder().ids(t or ""), "<u4").tolist() == _ids(t)[:-1]
 
 
+def test_many_texts_at_once_equal_whole_texts(monkeypatch):
+    rng = np.random.default_rng(4)
+    parts = ["a", "b's", "it's,", "x,", "é***", "12.\"", "'", "'s", "ab'", "_,", "²,", "ñ.", "ǆ!", "汉字。", "\n", "b.\nThe", "\t", "\r\n", "\u180e", "<|endoftext|>", "", " "]
+    made = [" ".join(rng.choice(parts, rng.integers(0, 9))) for _ in range(3000)]
+    texts = [*(t for _, t, *_ in TEXTS), *made, "\n", " ", "word\nnext line. \"x\"", None]
+    monkeypatch.setattr(bpe, "BATCH_BYTES", 5000)
+    monkeypatch.setattr(bpe, "MEMO_ENTRIES", 8)
+    for own in (encoder(), bpe.BpeEncoder(public_tokenizers.path(bpe.VOCABULARY))):
+        got = list(own.many(pa.array(texts, pa.string())))
+        assert [np.frombuffer(g, "<u4").tolist() for g in got] == [_ids(t)[:-1] for t in texts]
+    assert list(encoder().many(pa.array([], pa.string()))) == []
+
+
+def test_many_texts_ask_the_library_once_for_a_word():
+    own, asked = bpe.BpeEncoder(public_tokenizers.path(bpe.VOCABULARY)), []
+    word, whole = own.shown_word, own.whole
+    own.shown_word, own.whole = lambda w: asked.append(w.replace("Ġ", " ")) or word(w), lambda t: asked.append(t) or whole(t)
+    list(own.many(pa.array(["so far, so good", "far; so\nfar, good..."] * 50)))
+    assert sorted(asked) == sorted([" far", " so", " good", "so", "far", ",", ";", "..."])
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 255, 257, 511, 513, 5000])
 def test_codec_round_trip_and_checksums(n):
     ids = np.random.default_rng(n).zipf(1.3, n) % 50257

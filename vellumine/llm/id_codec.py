@@ -49,7 +49,7 @@ _U32 = np.uint64(32)
 _LOW32 = np.uint64(0xFFFFFFFF)
 _TOP = np.uint64(1) << np.uint64(32)
 _CHOICE = np.uint64(4096)
-_NONE, _ONE = np.uint64(0), np.uint64(1)
+_ONE = np.uint64(1)
 #: Steps after which the choice's distributions take in what was chosen.
 _MIX_STEPS = 8
 #: Confidence x how settled x last choice, and the narrower contexts of each.
@@ -57,8 +57,6 @@ _GRID = np.arange(4 * 32 * 3)
 _PARTS = (_GRID // 96 * 3 + _GRID % 3, _GRID // 3, _GRID)
 _SIZES = (12, 128, 384)
 _POWERS = 1 << np.arange(1, 8)
-#: The next order-2 confidence, by the last one and whether the guess was right.
-_NEXT_SURE = np.array([1, 1, 1, 2, 1, 3, 2, 3], np.int16)
 
 
 class CorruptBlock(ValueError):
@@ -71,9 +69,10 @@ class _Models:
 
     def __init__(self, lanes: int, alphabet: int):
         self.lanes, self.alphabet, self.stride = lanes, alphabet, alphabet + 1
-        self.guesses, self.sure = np.full(1 << _CTX2_BITS, alphabet, np.int32), np.zeros(1 << _CTX2_BITS, np.int16)
+        #: Order 2: 4 x guess + confidence, so that a step looks up and stores one number a lane.
+        self.guesses = np.full(1 << _CTX2_BITS, 4 * alphabet, np.int32 if alphabet < 1 << 29 else np.int64)
         self.prev1, self.prev2 = np.full(lanes, alphabet), np.full(lanes, alphabet)
-        self.last = np.full(lanes, 2)
+        self.last = np.full(lanes, 6)
         self.by = [np.full((n, 3), 4, np.int64) for n in _SIZES]
         self.weight = np.full((3, len(_GRID)), 1 << 14, np.int64)
         self.chosen: list[np.ndarray] = []
@@ -99,26 +98,39 @@ class _Models:
         old = self.keys[at] == new
         self.counts[at[old]] += times[old]
         if not old.all():
-            self.keys = np.insert(self.keys, at[~old], new[~old])
-            self.counts = np.insert(self.counts, at[~old], times[~old])
+            fresh = np.flatnonzero(~old)
+            put = at[fresh] + np.arange(len(fresh))
+            kept = np.ones(len(self.keys) + len(fresh), bool)
+            kept[put] = False
+            kept = np.flatnonzero(kept)
+            keys, counts = np.empty(len(kept) + len(fresh), np.int64), np.empty(len(kept) + len(fresh), np.int64)
+            keys[kept], counts[kept], keys[put], counts[put] = self.keys, self.counts, new[fresh], times[fresh]
+            self.keys, self.counts = keys, counts
             self._index()
 
     def take_in(self) -> int:
-        """Make the counts distributions; the number of steps until this is due again."""
-        self.cum = np.concatenate([[0], np.cumsum(self.counts)])
-        first = self.first
-        self.base = self.cum[first[:-1]]
-        self.total1 = self.cum[first[1:]] - self.base
+        """Make the counts distributions; the number of steps until this is due again. Order 0's
+        counts follow those of order 1, as if of one more id before: ``alphabet + 1``."""
+        self.known = np.concatenate([self.counts, self.count])
+        self.cum = np.concatenate([[0], np.cumsum(self.known)])
+        first, self.ids_at = self.first, len(self.counts)
+        base = self.cum[first[:-1]]
+        total1 = self.cum[first[1:]] - base
         kinds = np.concatenate([[0], np.cumsum(self.counts > 0)])
-        kinds = np.minimum(4 * (kinds[first[1:]] - kinds[first[:-1]]) // np.maximum(self.total1, 1), 3)
-        self.settled = (np.searchsorted(_POWERS, self.total1, "right") * 4 + kinds) * 3
-        self.cum0 = np.concatenate([[0], np.cumsum(self.count)])
+        kinds = np.minimum(4 * (kinds[first[1:]] - kinds[first[:-1]]) // np.maximum(total1, 1), 3)
+        self.settled = (np.searchsorted(_POWERS, total1, "right") * 4 + kinds) * 9
+        start = self.cum[self.ids_at]
+        self.base, self.total = np.append(base, start), np.append(total1, self.cum[-1] - start)
         return max(1, max(256, self.seen >> 2) // self.lanes)
 
     def lay_out(self) -> None:
-        """For the reader: a place for each count, so that a value finds its key or id at once."""
-        self.key_at = np.repeat(np.arange(len(self.counts), dtype=np.int32), self.counts)
-        self.id_at = np.repeat(np.arange(self.alphabet, dtype=np.int32), self.count)
+        """For the reader: a place for each count, so that a value finds its key or id at once, and
+        side by side what the reader needs of it: where its counts begin, how many, its id."""
+        self.key_at = np.repeat(np.arange(len(self.known), dtype=np.int32), self.known)
+        self.row_of = np.zeros((len(self.known), 4), np.int32 if self.cum[-1] < 1 << 31 else np.int64)
+        self.row_of[:, 0], self.row_of[:, 1] = self.cum[:-1], self.known
+        self.row_of[: self.ids_at - 1, 2] = self.keys[:-1] - np.repeat(np.arange(self.alphabet + 1) * self.stride, np.diff(self.first))
+        self.row_of[self.ids_at :, 2] = np.arange(self.alphabet)
 
     def miss(self, literals: np.ndarray) -> None:
         self.count += np.bincount(literals, minlength=self.alphabet) * _STEP
@@ -140,85 +152,108 @@ class _Models:
         self.mixed[:, 2] = 4096 - self.mixed[:, 0] - self.mixed[:, 1]
         self.size = self.mixed.ravel().astype(np.uint64)
         self.low = np.concatenate([np.zeros((len(_GRID), 1), np.int64), np.cumsum(self.mixed[:, :2], axis=1)], axis=1).ravel()
-        self.low, self.second, self.third = self.low.astype(np.uint64), self.low[1::3].copy(), self.low[2::3].copy()
+        self.low = self.low.astype(np.uint64)
 
     def look(self, settled: np.ndarray) -> None:
-        """The step's guesses and contexts."""
+        """The step's guesses and contexts (times 3)."""
         at2 = self.prev2 * 40503
         at2 += self.prev1 * 9973
         at2 >>= 2
         at2 &= (1 << _CTX2_BITS) - 1
-        self.at2, self.guess, self.conf = at2, self.guesses[at2], self.sure[at2]
-        self.context = self.conf * 96 + settled + self.last
+        state = self.guesses[at2].astype(np.int64)
+        self.at2, self.guess, self.conf = at2, state >> 2, state & 3
+        self.context = self.conf * 288 + settled
+        self.context += self.last
 
-    def learn(self, ids: np.ndarray, choice: np.ndarray) -> None:
-        self.chosen.append(self.context * 3 + choice)
+    def learn(self, ids: np.ndarray, choice: np.ndarray, place: np.ndarray) -> None:
+        self.chosen.append(place)
         if len(self.chosen) == _MIX_STEPS:
             self.mix()
-        right, conf = choice == 0, self.conf
-        self.guesses[self.at2] = np.where(right | (conf > 1), self.guess, ids)
-        self.sure[self.at2] = _NEXT_SURE[conf * 2 + right]
+        wrong, conf = choice != 0, self.conf
+        state = self.guess - ids  # a guess goes once its confidence is down to 1
+        state *= conf >> 1
+        state += ids
+        state <<= 2
+        state += np.minimum(np.maximum(conf + 1 - 2 * wrong, 1), 3)
+        self.guesses[self.at2] = state
         self.seen += self.lanes
-        self.prev2, self.prev1, self.last = self.prev1, ids, choice
+        self.prev2, self.prev1, self.last = self.prev1, ids, choice * 3
 
 
 class _Writer:
     def __init__(self, lanes: int, steps: int):
         self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, ~np.uint64(0))
-        self.words, self.at = np.zeros((lanes, 2 * steps + 4), np.uint32), np.zeros(lanes, np.int64)
+        self.words = np.zeros(lanes * (2 * steps + 4), np.uint32)
+        self.first = np.arange(lanes) * (2 * steps + 4)
+        self.at = self.first.copy()
 
     def _carry(self, lanes: np.ndarray) -> None:
         k = self.at[lanes] - 1
         while len(lanes):
-            self.words[lanes, k] += np.uint32(1)
-            over = self.words[lanes, k] == 0
+            self.words[k] += np.uint32(1)
+            over = np.flatnonzero(self.words[k] == 0)
             lanes, k = lanes[over], k[over] - 1
 
-    def code(self, low, size, total) -> None:
-        unit = self.range // total
-        after = self.low + unit * low
-        over = np.flatnonzero(after < self.low)
+    def code(self, low, size, total, lanes=None) -> None:
+        """Code a part of each lane's range, or of some lanes'."""
+        before, unit = (self.low, self.range // total) if lanes is None else (self.low[lanes], self.range[lanes] // total)
+        after = before + unit * low
+        over = np.flatnonzero(after < before)
         if len(over):
-            self._carry(over)
+            self._carry(over if lanes is None else lanes[over])
         width = unit * size
         short = np.flatnonzero(width < _TOP)
         if len(short):
-            part, at = after[short], self.at[short]
-            self.words[short, at] = part >> _U32
-            self.at[short] = at + 1
+            part, lane = after[short], short if lanes is None else lanes[short]
+            at = self.at[lane]
+            self.words[at] = part >> _U32
+            self.at[lane] = at + 1
             after[short] = part << _U32
             width[short] <<= _U32
-        self.low, self.range = after, width
+        if lanes is None:
+            self.low, self.range = after, width
+        else:
+            self.low[lanes], self.range[lanes] = after, width
 
     def end(self) -> tuple[np.ndarray, np.ndarray]:
         """One more word a lane: the range is wide enough to hold a number with 32 zeros."""
         last = self.low + _LOW32
         self._carry(np.flatnonzero(last < self.low))
-        self.words[np.arange(len(self.at)), self.at] = last >> _U32
-        sizes = self.at + 1
-        return sizes, self.words[np.arange(self.words.shape[1])[None, :] < sizes[:, None]]
+        self.words[self.at] = last >> _U32
+        sizes, words = self.at - self.first + 1, self.words.reshape(len(self.at), -1)
+        return sizes, words[np.arange(words.shape[1])[None, :] < sizes[:, None]]
 
 
 class _Reader:
     def __init__(self, sizes: np.ndarray, words: np.ndarray):
-        self.words = np.zeros((len(sizes), int(sizes.max()) + 4), np.uint64)
-        self.words[np.arange(self.words.shape[1])[None, :] < sizes[:, None]] = words
-        self.code = (self.words[:, 0] << _U32) | self.words[:, 1]
-        self.at, self.range = np.full(len(sizes), 2), np.full(len(sizes), ~np.uint64(0))
-
-    def value(self, total) -> np.ndarray:
-        self.unit = self.range // total
-        return np.minimum(self.code // self.unit, total - _ONE).astype(np.int64)
-
-    def accept(self, low, size) -> None:
-        code, width = self.code - self.unit * low, self.unit * size
+        grid = np.zeros((len(sizes), int(sizes.max()) + 4), np.uint32)
+        grid[np.arange(grid.shape[1])[None, :] < sizes[:, None]] = words
+        self.words, wide = grid.ravel(), grid[:, :2].astype(np.uint64)
+        self.code = (wide[:, 0] << _U32) | wide[:, 1]
+        self.at, self.range = np.arange(len(sizes)) * grid.shape[1] + 2, np.full(len(sizes), ~np.uint64(0))
+
+    def choose(self, second, third) -> np.ndarray:
+        """Each lane's choice, by where the second and the third begin."""
+        self.unit = self.range // _CHOICE
+        return (self.code >= self.unit * second).astype(np.int64) + (self.code >= self.unit * third)
+
+    def value(self, total, lanes) -> np.ndarray:
+        self.unit = self.range[lanes] // total
+        return np.minimum(self.code[lanes] // self.unit, total - _ONE).view(np.int64)
+
+    def accept(self, low, size, lanes=None) -> None:
+        code, width = (self.code if lanes is None else self.code[lanes]) - self.unit * low, self.unit * size
         short = np.flatnonzero(width < _TOP)
         if len(short):
-            at = self.at[short]
-            code[short] = (code[short] << _U32) | self.words[short, np.minimum(at, self.words.shape[1] - 1)]
-            self.at[short] = at + 1
+            lane = short if lanes is None else lanes[short]
+            at = self.at[lane]
+            code[short] = (code[short] << _U32) | self.words[np.minimum(at, len(self.words) - 1)]
+            self.at[lane] = at + 1
             width[short] <<= _U32
-        self.code, self.range = code, width
+        if lanes is None:
+            self.code, self.range = code, width
+        else:
+            self.code[lanes], self.range[lanes] = code, width
 
 
 def _ranked(keys: np.ndarray, bound: int) -> tuple[np.ndarray, np.ndarray]:
@@ -232,11 +267,10 @@ def _ranked(keys: np.ndarray, bound: int) -> tuple[np.ndarray, np.ndarray]:
     packed.sort()
     place = packed & ((1 << bits) - 1)
     packed >>= bits
-    new = np.empty(len(keys), bool)
-    new[0], new[1:] = True, packed[1:] != packed[:-1]
+    first = np.append(0, np.flatnonzero(packed[1:] != packed[:-1]) + 1)
     rank = np.empty(len(keys), np.int32)
-    rank[place] = np.cumsum(new, dtype=np.int32) - 1
-    return rank, packed[new]
+    rank[place] = np.repeat(np.arange(len(first), dtype=np.int32), np.diff(first, append=len(keys)))
+    return rank, packed[first]
 
 
 def encode_ids(ids: np.ndarray) -> bytes:
@@ -256,26 +290,28 @@ def encode_ids(ids: np.ndarray) -> bytes:
         rank, keys = _ranked((before * m.stride + grid).ravel(), m.stride * m.stride)
         m.know(keys)
         rank = rank.reshape(grid.shape)
-        for t, row in enumerate(grid):
-            if t == due:
-                if t:
-                    m.counts[:-1] += np.bincount(rank[begin:t].ravel(), minlength=len(keys))
-                    m.miss(grid[begin:t][other == 2])
-                begin, due = t, t + m.take_in()
-                at, x, b = rank[t:due], grid[t:due], before[t:due]  # counts stay until then: all steps at once
-                other = 2 - (m.counts[at] > 0)
-                one = other == 1
-                low2, size2 = np.where(one, m.cum[at] - m.base[b], m.cum0[x]).astype(np.uint64), np.where(one, m.counts[at], m.count[x]).astype(np.uint64)
-                total2, settled = np.where(one, m.total1[b], m.cum0[-1]).astype(np.uint64), m.settled[b]
-            k = t - begin
-            m.look(settled[k])
-            right = row == m.guess
-            choice = np.where(right, 0, other[k])
-            other[k] = choice
-            place = m.context * 3 + choice
-            w.code(m.low[place], m.size[place], _CHOICE)
-            w.code(np.where(right, _NONE, low2[k]), np.where(right, _ONE, size2[k]), np.where(right, _ONE, total2[k]))
-            m.learn(row, choice)
+        while due < steps:
+            begin, due = due, min(steps, due + m.take_in())  # counts stay until then: these steps at once
+            at, rows, b = rank[begin:due], grid[begin:due], before[begin:due]
+            other, settled = 2 - (m.counts[at] > 0), m.settled[b]
+            low, size = np.empty(rows.shape, np.uint64), np.empty(rows.shape, np.uint64)
+            for k, row in enumerate(rows):
+                m.look(settled[k])
+                other[k] *= row != m.guess
+                place = m.context + other[k]
+                low[k], size[k] = m.low[place], m.size[place]
+                m.learn(row, other[k], place)
+            missed = np.flatnonzero(other)
+            one = other.ravel()[missed] == 1
+            key = np.where(one, at.ravel()[missed], m.ids_at + rows.ravel()[missed])
+            under = np.where(one, b.ravel()[missed], m.alphabet + 1)
+            low2, size2, total2 = (x.view(np.uint64) for x in (m.cum[key] - m.base[under], m.known[key], m.total[under]))
+            ends = np.searchsorted(missed, np.arange(len(rows) + 1) * lanes)
+            for k, (i, j) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())):
+                w.code(low[k], size[k], _CHOICE)
+                w.code(low2[i:j], size2[i:j], total2[i:j], missed[i:j] - k * lanes)
+            m.counts[:-1] += np.bincount(at.ravel(), minlength=len(keys))
+            m.miss(rows[other == 2])
         sizes, words = w.end()
         body += sizes.astype("<u2").tobytes() + words.astype("<u4").tobytes()
     check = zlib.crc32(np.asarray(ids, "<u4").tobytes())
@@ -308,22 +344,18 @@ def decode_ids(block: bytes) -> np.ndarray:
             begin, start, due = t, m.prev1, t + m.take_in()
             m.lay_out()
         m.look(m.settled[m.prev1])
-        v = r.value(_CHOICE)
-        choice = (v >= m.second[m.context]).astype(np.int64) + (v >= m.third[m.context])
-        place = m.context * 3 + choice
+        choice = r.choose(m.low[m.context + 1], m.low[m.context + 2])
+        place = m.context + choice
         r.accept(m.low[place], m.size[place])
         row = m.guess.astype(np.int64)
-        one, two = np.flatnonzero(choice == 1), np.flatnonzero(choice == 2)
-        before = m.prev1[one]
-        total, low, size = np.ones(lanes, np.uint64), np.zeros(lanes, np.uint64), np.ones(lanes, np.uint64)
-        total[one], total[two] = m.total1[before], m.cum0[-1]
-        v, base = r.value(total), m.base[before]
-        at, x = m.key_at[base + v[one]], m.id_at[v[two]]
-        low[one], low[two] = m.cum[at] - base, m.cum0[x]
-        size[one], size[two] = m.counts[at], m.count[x]
-        r.accept(low, size)
-        row[one], row[two] = m.keys[at] - before * m.stride, x
-        m.learn(row, choice)
+        missed = np.flatnonzero(choice)
+        one, b = choice[missed] == 1, m.prev1[missed]
+        under = np.where(one, b, alphabet + 1)
+        total, base = m.total[under].view(np.uint64), m.base[under]
+        found = m.row_of.take(m.key_at[base + r.value(total, missed)], axis=0)
+        r.accept((found[:, 0] - base).view(np.uint64), found[:, 1].astype(np.uint64), missed)
+        row[missed] = found[:, 2]
+        m.learn(row, choice, place)
         grid[t], choices[t] = row, choice
     places = grid.T.reshape(-1)[:n]
     if (places >= alphabet).any() or (places < 0).any():
@@ -368,8 +400,8 @@ def write_ids(df: DataFrame, path: str, vocabulary: str = VOCABULARY, end_id: in
             return pa.RecordBatch.from_arrays(cells, names=["shard", "block", "n_ids", "documents", "payload"])
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = enc.ids(text or "") + end
+            for doc, ids in zip(batch.column(0).to_pylist(), enc.many(batch.column(1))):
+                ids += end
                 docs.append(doc)
                 sizes.append(len(ids) // 4)
                 parts.append(ids)
