@@ -12,6 +12,7 @@ DATA = "/root/testdata/sf0.001"
 #: Queries over counterpart ranks.
 RANKED = [
     "rmsk_counterpart_rank",
+    "rmsk_assemble",
 ]
 
 
