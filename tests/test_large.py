@@ -13,6 +13,7 @@ DATA = "/root/testdata/sf0.001"
 RANKED = [
     "rmsk_counterpart_rank",
     "rmsk_assemble",
+    "rmsk_element_names",
 ]
 
 
