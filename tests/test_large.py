@@ -14,6 +14,7 @@ RANKED = [
     "rmsk_counterpart_rank",
     "rmsk_assemble",
     "rmsk_element_names",
+    "rmsk_ltr_int_pattern",
 ]
 
 
