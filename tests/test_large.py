@@ -15,6 +15,7 @@ RANKED = [
     "rmsk_assemble",
     "rmsk_element_names",
     "rmsk_ltr_int_pattern",
+    "rmsk_rel_length",
 ]
 
 
