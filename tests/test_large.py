@@ -16,6 +16,7 @@ RANKED = [
     "rmsk_element_names",
     "rmsk_ltr_int_pattern",
     "rmsk_rel_length",
+    "rmsk_strict",
 ]
 
 
