@@ -17,6 +17,7 @@ RANKED = [
     "rmsk_ltr_int_pattern",
     "rmsk_rel_length",
     "rmsk_strict",
+    "rmsk_strict_compound",
 ]
 
 
